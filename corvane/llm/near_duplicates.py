@@ -83,6 +83,12 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]], np.diff(at)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def gram_sets(lowered: pa.Array, size: int, min_tokens: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-grams of each text: record numbers and 48-bit hashes, both ascending."""
     tokens = tokenize(lowered)
@@ -105,30 +111,28 @@ def gram_sets(lowered: pa.Array, size: int, min_tokens: int) -> tuple[np.ndarray
 
 def _to_gram_rows(size: int, min_tokens: int):
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1 << 14):
-                batch = whole.slice(start, 1 << 14)
-                record, grams = gram_sets(batch.column(1), size, min_tokens)
-                n = np.bincount(record, minlength=batch.num_rows)
-                has = np.flatnonzero(n)
-                if not len(has):
-                    continue
-                starts = np.cumsum(n[has]) - n[has]
-                key1 = np.add.reduceat(_mix(grams * _M1), starts).view(np.int64)
-                key2 = np.add.reduceat(_mix(grams * _M3 + _M1), starts).view(np.int64)
-                bits = np.bincount(record * SKETCH_BITS + (grams % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=batch.num_rows * SKETCH_BITS)
-                sketch = np.packbits((bits & 1).astype(bool).reshape(batch.num_rows, SKETCH_BITS)[has], axis=1)
-                yield pa.record_batch(
-                    [
-                        batch.column(0).take(pa.array(has)),
-                        pa.array(n[has].astype(np.int32)),
-                        pa.array(key1),
-                        pa.array(key2),
-                        _binary(sketch, np.full(len(has), SKETCH_BITS // 8)),
-                        _binary(pack(grams), n[has] * GRAM_BYTES),
-                    ],
-                    names=["id", "n", "key1", "key2", "sketch", "grams"],
-                )
+        for batch in _slices(batches):
+            record, grams = gram_sets(batch.column(1), size, min_tokens)
+            n = np.bincount(record, minlength=batch.num_rows)
+            has = np.flatnonzero(n)
+            if not len(has):
+                continue
+            starts = np.cumsum(n[has]) - n[has]
+            key1 = np.add.reduceat(_mix(grams * _M1), starts).view(np.int64)
+            key2 = np.add.reduceat(_mix(grams * _M3 + _M1), starts).view(np.int64)
+            bits = np.bincount(record * SKETCH_BITS + (grams % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=batch.num_rows * SKETCH_BITS)
+            sketch = np.packbits((bits & 1).astype(bool).reshape(batch.num_rows, SKETCH_BITS)[has], axis=1)
+            yield pa.record_batch(
+                [
+                    batch.column(0).take(pa.array(has)),
+                    pa.array(n[has].astype(np.int32)),
+                    pa.array(key1),
+                    pa.array(key2),
+                    _binary(sketch, np.full(len(has), SKETCH_BITS // 8)),
+                    _binary(pack(grams), n[has] * GRAM_BYTES),
+                ],
+                names=["id", "n", "key1", "key2", "sketch", "grams"],
+            )
 
     return convert
 
@@ -186,7 +190,7 @@ def _entries(levels, threshold: float, blocks: int):
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level_of = levels.value
-        for batch in batches:
+        for batch in _slices(batches):
             ids = batch.column(0).to_numpy()
             n = batch.column(1).to_numpy().astype(np.int64)
             sketches = _flat(batch.column(2))[0].reshape(len(ids), -1)
@@ -224,7 +228,7 @@ def _entries(levels, threshold: float, blocks: int):
                 if s.start == s.stop:
                     continue
                 who, local = np.unique(owner[s], return_inverse=True)
-                rows.append((b, ids[who].tobytes(), n[who].astype(np.int32).tobytes(), sketches[who].tobytes(), column[s].tobytes(), local.astype(np.uint32 if len(ids) > 65536 else np.uint16).astype(np.uint32).tobytes() if len(ids) > 65536 else local.astype(np.uint16).tobytes(), part[s].tobytes()))
+                rows.append((b, ids[who].tobytes(), n[who].astype(np.int32).tobytes(), sketches[who].tobytes(), column[s].tobytes(), local.astype(np.uint16).tobytes(), part[s].tobytes()))
             if rows:
                 yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 7)]], names=["block", "ids", "sizes", "sketches", "columns", "owners", "parts"])
 
@@ -244,7 +248,7 @@ def _multiply(threshold: float):
             for row in zip(*[batch.column(c) for c in ("ids", "sizes", "sketches", "columns", "owners", "parts")]):
                 ids = np.frombuffer(row[0].as_buffer(), np.int64)
                 columns = np.frombuffer(row[3].as_buffer(), np.uint32)
-                owners = np.frombuffer(row[4].as_buffer(), np.uint16 if row[4].as_buffer().size == 2 * len(columns) else np.uint32)
+                owners = np.frombuffer(row[4].as_buffer(), np.uint16)
                 for k, x in enumerate((ids, np.frombuffer(row[1].as_buffer(), np.int32), np.frombuffer(row[2].as_buffer(), np.uint64).reshape(len(ids), -1), columns, owners.astype(np.int64) + seen, np.frombuffer(row[5].as_buffer(), np.uint8))):
                     got[k].append(x)
                 seen += len(ids)
@@ -290,18 +294,16 @@ def _multiply(threshold: float):
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for start in range(0, whole.num_rows, 4096):
-            batch = whole.slice(start, 4096)
-            sets = []
-            for name in ("grams_a", "grams_b"):
-                flat, length = _flat(batch.column(name))
-                owner = np.repeat(np.arange(batch.num_rows, dtype=np.uint64), length // GRAM_BYTES)
-                sets.append((owner << np.uint64(GRAM_BITS)) | unpack(flat))
-            both = np.sort(np.concatenate(sets))
-            twice = both[1:][both[1:] == both[:-1]]
-            overlap = np.bincount((twice >> np.uint64(GRAM_BITS)).astype(np.int64), minlength=batch.num_rows)
-            yield pa.record_batch([batch.column("a"), batch.column("b"), batch.column("n_a"), batch.column("n_b"), pa.array(overlap)], names=["a", "b", "n_a", "n_b", "overlap"])
+    for batch in _slices(batches, 4096):
+        sets = []
+        for name in ("grams_a", "grams_b"):
+            flat, length = _flat(batch.column(name))
+            owner = np.repeat(np.arange(batch.num_rows, dtype=np.uint64), length // GRAM_BYTES)
+            sets.append((owner << np.uint64(GRAM_BITS)) | unpack(flat))
+        both = np.sort(np.concatenate(sets))
+        twice = both[1:][both[1:] == both[:-1]]
+        overlap = np.bincount((twice >> np.uint64(GRAM_BITS)).astype(np.int64), minlength=batch.num_rows)
+        yield pa.record_batch([batch.column("a"), batch.column("b"), batch.column("n_a"), batch.column("n_b"), pa.array(overlap)], names=["a", "b", "n_a", "n_b", "overlap"])
 
 
 class NearDuplicates:
