@@ -36,14 +36,14 @@ from corvane.llm.tokens import tokenize
 from corvane.operators.checked import join_measured, measured
 from corvane.sources.shared import materialize
 
-GRAM_BITS = 48
+GRAM_BITS = 40
 GRAM_BYTES = GRAM_BITS // 8
 SKETCH_BITS = 256
 #: Columns are counted in so many hashed counters, of fixed size whatever the input.
 COUNTERS_LOG2 = 22
 COUNTER_BLOCK = 1 << 16
 #: Entries of the matrix that one task multiplies, about.
-ENTRIES_PER_BLOCK = 2_000_000
+ENTRIES_PER_BLOCK = 4_000_000
 #: A column with more records than this is cut into sub-blocks.
 SUB_BLOCK = 4096
 
@@ -58,7 +58,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def pack(grams: np.ndarray) -> np.ndarray:
-    """48-bit numbers as rows of six bytes."""
+    """40-bit numbers as rows of five bytes."""
     return np.ascontiguousarray(grams.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES]
 
 
@@ -90,7 +90,7 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1 << 14) -> Iterator[
 
 
 def gram_sets(lowered: pa.Array, size: int, min_tokens: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of each text: record numbers and 48-bit hashes, both ascending."""
+    """The distinct n-grams of each text: record numbers and 40-bit hashes, both ascending."""
     tokens = tokenize(lowered)
     words = np.array([xxhash.xxh3_64_intdigest(w) for w in tokens.dictionary.to_pylist()], np.uint64)
     enough = np.bincount(tokens.record, minlength=tokens.n_records) >= max(min_tokens, size)
@@ -338,9 +338,9 @@ class NearDuplicates:
         pairs = materialize(pairs, "candidates")
         used, n_used = measured(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate-ids")
         sets = join_measured(self.grams.select("id", "n", "grams"), used, n_used, ["id"], "left_semi")
-        left = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("grams_a"))
-        right = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("grams").alias("grams_b"))
-        counted = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "grams_a", "grams_b")
+        # both sides read one exchange of the sets, by id
+        counted = pairs.join(sets.alias("x"), F.col("a") == F.col("x.id")).join(sets.alias("y"), F.col("b") == F.col("y.id"))
+        counted = counted.select("a", "b", F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"), F.col("x.grams").alias("grams_a"), F.col("y.grams").alias("grams_b"))
         counted = counted.mapInArrow(_overlaps, "a bigint, b bigint, n_a int, n_b int, overlap bigint")
         similarity = F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap"))
         return counted.withColumn("similarity", similarity).filter(F.col("similarity") >= t).select("a", "b", "similarity")
