@@ -5,6 +5,62 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.operators.snapshots import canonical_url, layout_free, snapshot_changes, with_values
+from corvane.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+# ---- 5: changes between snapshots
+
+
+def _changes(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "chunk_snapshot").select("row_id", "snapshot_no", "url", "md_text", "loaded_at")
+    return snapshot_changes(df, "snapshot_no", canonical_url(F.col("url")), layout_free(F.col("md_text")))
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _changes(spark, d).select(F.col("snapshot").alias("snapshot_no"), F.col("record").alias("url"), "diff_kind")
+
+
+@query
+def p5_changed_texts(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "chunk_snapshot").select("row_id", "md_text")
+    found = with_values(_changes(spark, d), df, "md_text")
+    return found.select(F.col("snapshot").alias("snapshot_no"), F.col("record").alias("url"), "old_md_text", "new_md_text")
+
+
+_SNAPSHOT_SQL = r"""
+with plain as (
+  select snapshot_no, md_text, loaded_at,
+    lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)(.*)$', 1))
+    || rtrim(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)(.*)$', 2), '/')
+    || regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)(.*)$', 3) as url,
+    trim(regexp_replace(coalesce(md_text, ''), '[ \t\r\n' || chr(160) || ']+', ' ', 'g')) as text
+  from chunk_snapshot where url is not null
+), valid as (
+  select * from plain qualify row_number() over (partition by snapshot_no, url order by loaded_at desc) = 1
+), numbered as (
+  select *, dense_rank() over (order by snapshot_no) as k from valid
+), numbers as (select distinct snapshot_no, k from numbered)
+"""
+
+SQL["p5_found"] = _SNAPSHOT_SQL + """
+select n.snapshot_no, coalesce(a.url, b.url) as url, case when a.url is null then 'added' when b.url is null then 'removed' else 'changed' end as diff_kind
+from (select snapshot_no, url, text, k, k - 1 as before from numbered) b
+full outer join (select url, text, k from numbered) a on a.url = b.url and a.k = b.before
+join numbers n on n.k = coalesce(b.k, a.k + 1)
+where n.k > 1 and (a.url is null or b.url is null or a.text <> b.text)"""
+
+SQL["p5_changed_texts"] = _SNAPSHOT_SQL + """
+select b.snapshot_no, b.url, a.md_text as old_md_text, b.md_text as new_md_text
+from numbered b join numbered a on a.url = b.url and a.k = b.k - 1 where a.text <> b.text"""
