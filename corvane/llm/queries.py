@@ -7,9 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm.documented_code import documented_functions
+from corvane.llm.languages import fit_on, label_code, language_segments
+from corvane.llm.mixing import Mix, source_name
 from corvane.llm.near_duplicates import NearDuplicates
 from corvane.llm.ngram_counts import mark_terms, ngram_counts
+from corvane.llm.packing import fill_report, pack
+from corvane.llm.splitting import split_oversized
+from corvane.llm.token_sizes import with_token_counts
+from corvane.operators.components import connected_components
 from corvane.operators.latest import latest_wide_rows
+from corvane.sources.shared import materialize
 from corvane.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +112,130 @@ both_have as (
 )
 select a as chunk_id_a, b as chunk_id_b from both_have
 join size p on p.chunk_id = a join size q on q.chunk_id = b where o / (p.n + q.n - o) >= 0.6"""
+
+
+@query
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row a chunk that is like another one: its group, its class of equal ones, and to
+    how many classes of different text that class is linked."""
+    found = _near_duplicate_chunks(spark, d)
+    links = materialize(found.links(), "links")
+    ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    groups = connected_components(links).withColumnsRenamed({"id": "class_id", "component": "group_id"})
+    classes = found.copies.select("class_id").distinct().join(ends, "class_id", "full_outer").join(groups, "class_id", "left")
+    members = classes.join(found.copies, "class_id", "left")
+    return members.select(
+        F.coalesce("id", "class_id").alias("chunk_id"), "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    )
+
+
+# ---- 3: functions with their documentation
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = documented_functions(table(spark, d, "python_source"))
+    return pairs.filter("doc_origin = 'own'").select("file_id", "symbol_name", "line_number")
+
+
+@query
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return documented_functions(table(spark, d, "python_source"))
+
+
+# ---- 4: splitting oversized chunks
+
+
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_oversized(_chunks(spark, d, "md_text", "source_site"), "chunk_id", "md_text", "source_site", table(spark, d, "chunk_limit"))
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d).filter("piece_no = 0").select(F.col("id").alias("chunk_id"))
+
+
+SQL["p4_found"] = r"""
+with valid as (
+  select chunk_id, trim(md_text, ' ' || chr(9) || chr(10) || chr(13)) as text, source_site from doc_chunk
+  qualify row_number() over (partition by chunk_id order by loaded_at desc) = 1
+)
+select chunk_id from valid v left join chunk_limit l on l.source_site = v.source_site
+where length(text) > coalesce(l.max_chars, (select max_chars from chunk_limit where source_site = '*'))"""
+
+
+@query
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d).withColumnRenamed("id", "chunk_id")
+
+
+# ---- 6: containers
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").select("doc_id", "source", "text")
+    return with_token_counts(documents, "text", ["doc_id", "source"])
+
+
+#: Errata don't share a container with the notes that they correct.
+APART = (("errata", "release_notes"),)
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").select("doc_id", "source", "text")
+    alike = NearDuplicates(documents, "doc_id", "text", size=5, threshold=0.8, min_tokens=5)
+    cluster = connected_components(alike.links()).withColumnsRenamed({"id": "class_id", "component": "group_id"})
+    copies = alike.copies.join(cluster, "class_id", "left").select(F.col("id").alias("doc_id"), F.coalesce("group_id", "class_id").alias("cluster"))
+    alone = cluster.join(alike.copies.select("class_id").distinct(), "class_id", "left_anti").select(F.col("class_id").alias("doc_id"), F.col("group_id").alias("cluster"))
+    items = materialize(_sized(spark, d).withColumn("source", source_name(F.col("source"))), "sizes")
+    items = items.join(copies.unionByName(alone), "doc_id", "left")
+    return pack(items, table(spark, d, "container_size"), APART)
+
+
+@query
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+@query
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(materialize(_packed(spark, d), "packed"), table(spark, d, "container_size"))
+
+
+# ---- 7: mixing sources
+
+
+def _mix(spark: SparkSession, d: str) -> Mix:
+    return Mix(materialize(_sized(spark, d), "sizes"), table(spark, d, "mix_target"))
+
+
+@query
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).mixed()
+
+
+@query
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).shares()
+
+
+# ---- 8: languages
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").select("doc_id", "text", "lang")
+    model = fit_on(documents, "text", "lang", "doc_id")
+    return language_segments(documents, "doc_id", "text", model)
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    written = _segments(spark, d).groupBy(F.col("id").alias("doc_id")).agg(F.collect_set("lang_code").alias("codes"))
+    labels = table(spark, d, "documents").select("doc_id", label_code(F.col("lang")).alias("label"))
+    wrong = (F.size("codes") > 1) | ~F.coalesce(F.col("codes")[0] == F.col("label"), F.lit(False))
+    return written.join(labels, "doc_id").filter(wrong).select("doc_id", F.explode("codes").alias("lang_code"))
+
+
+@query
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d).withColumnRenamed("id", "doc_id")
