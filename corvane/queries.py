@@ -7,8 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions.html import headings, main_text
+from corvane.functions.html import sections as html_sections_of
+from corvane.functions.text import HTML_MARKER, TEXT_MARKER, clean_snippet, collapse, drop_admonitions, heading_info, normalize_text, slug, snippet, substring_count, tokenize, truncated
+from corvane.functions.urls import api_url, docstring_page, is_denied, markdown_page, markdown_url, resolve
+from corvane.operators.chunking import by_chars, by_words, chunk_markdown, chunk_text, slices
+from corvane.operators.index import Index, build_index
+from corvane.operators.latest import latest_rows, latest_wide_rows
+from corvane.operators.rank import bm25_many, bm25_top, substring_top
+from corvane.operators.records import html_records
+from corvane.operators.search import search
+from corvane.operators.sections import docstring_records, markdown_records, sections, union_records
 from corvane.operators.snapshots import canonical_url, layout_free, snapshot_changes, with_values
+from corvane.plans.pages import api_views, page_views, section_views
+from corvane.schema import Sites
+from corvane.sources.files import count_jsonl, python_symbols, read_jsonl, write_jsonl
+from corvane.sources.shared import shared_path
 from corvane.sources.tables import table
+from corvane.streaming.incremental import daily_counts, run_available, stream, term_count_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -64,3 +80,617 @@ where n.k > 1 and (a.url is null or b.url is null or a.text <> b.text)"""
 SQL["p5_changed_texts"] = _SNAPSHOT_SQL + """
 select b.snapshot_no, b.url, a.md_text as old_md_text, b.md_text as new_md_text
 from numbered b join numbered a on a.url = b.url and a.k = b.k - 1 where a.text <> b.text"""
+
+
+# ---- records and their index
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "doc_chunk").drop("ord", "build_no")
+    return latest_wide_rows(chunks, "chunk_id").drop("loaded_at").withColumnRenamed("chunk_id", "ord")
+
+
+def _sites(spark: SparkSession, d: str) -> Sites:
+    return Sites.from_config(table(spark, d, "repo_config"))
+
+
+_indexes: dict[tuple[str, str], Index] = {}
+
+
+def _index(spark: SparkSession, d: str) -> Index:
+    """Built once an application and folder, and then read by every query."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        _indexes[key] = build_index(_records(spark, d))
+    return _indexes[key]
+
+
+_RECORDS_SQL = """
+with record as (
+  select chunk_id as ord, title, anchor, heading_level, md_text, url, page, source_site from doc_chunk
+  qualify row_number() over (partition by chunk_id order by loaded_at desc) = 1
+)"""
+_TOKENS_SQL = _RECORDS_SQL + """
+, listed as (
+  select ord, list_filter(regexp_split_to_array(lower(coalesce(md_text, '')), '[^a-z0-9_#-]+'), lambda t: length(t) > 1) as t from record
+)"""
+_TERMS_SQL = _TOKENS_SQL + """
+, doc as (select ord, len(t) as dl from listed), posting as (select ord, term, count(*) as tf from (select ord, unnest(t) as term from listed) group by all),
+corpus as (select count(*) as n, avg(dl) as avgdl from doc),
+raw as (select term, count(*) as df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) as raw from posting, corpus group by term),
+mean as (select avg(raw) as avg_idf from raw),
+term as (select term, df, case when raw >= 0 then raw else 0.25 * avg_idf end as idf from raw, mean)
+"""
+
+
+@query
+def valid_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("ord", "title", "page", "source_site", "md_text")
+
+
+SQL["valid_chunks"] = _RECORDS_SQL + "select ord, title, page, source_site, md_text from record"
+
+
+@query
+def tokenize_chunks(spark: SparkSession, d: str) -> DataFrame:
+    tokens = tokenize(F.col("md_text"))
+    return _records(spark, d).select("ord", F.size(tokens).alias("n_tokens"), F.concat_ws(" ", tokens).alias("tokens"))
+
+
+SQL["tokenize_chunks"] = _TOKENS_SQL + "select ord, len(t)::int as n_tokens, array_to_string(t, ' ') as tokens from listed"
+
+
+@query
+def doc_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d).docs.select("ord", "dl")
+
+
+SQL["doc_lengths"] = _TOKENS_SQL + "select ord, len(t)::int as dl from listed"
+
+
+@query
+def postings(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d).postings.select("term", "ord", "tf")
+
+
+SQL["postings"] = _TERMS_SQL + "select term, ord, tf::int as tf from posting"
+
+
+@query
+def term_idf(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+SQL["term_idf"] = _TERMS_SQL + "select term, df, round(idf, 6) as idf from term"
+
+
+@query
+def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    index = _index(spark, d)
+    totals = index.docs.agg(F.count("*").alias("n"), F.sum("dl").alias("tokens"))
+    return totals.select("n", "tokens", F.lit(round(index.avgdl, 6)).alias("avgdl"), F.lit(round(index.avg_idf, 6)).alias("avg_idf"))
+
+
+SQL["corpus_stats"] = _TERMS_SQL + "select n, (select sum(dl) from doc)::bigint as tokens, round(avgdl, 6) as avgdl, round(avg_idf, 6) as avg_idf from corpus, mean"
+
+
+# ---- ranking
+
+
+def _top_sql(query: str, k: int) -> str:
+    return _TERMS_SQL + f"""
+, asked as (select term, count(*) as times from (select unnest(string_split('{query}', ' ')) as term) group by term),
+part as (
+  select p.ord, a.times * t.idf * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * doc.dl / c.avgdl)) as s
+  from asked a join term t on t.term = a.term join posting p on p.term = a.term join doc on doc.ord = p.ord cross join corpus c
+), scored as (
+  select doc.ord, round(coalesce(sum(s), 0), 6) as score from doc left join part on part.ord = doc.ord group by doc.ord
+), top as (select ord, score from scored order by score desc, ord limit {k})
+"""
+
+
+_ASKED = "optional cache validator"
+_BASE_SQL = "case when source_site in (select repo_name from repo_config where repo_name > (select min(repo_name) from repo_config)) then 'local://' || replace(source_site, '_', '-') || '/' else 'local://' || replace((select min(repo_name) from repo_config), '_', '-') || '/' end || page"
+
+
+@query
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    index = _index(spark, d)
+    top = bm25_top(index, _ASKED, 10)
+    found = index.records.join(F.broadcast(top), "ord")  # ten rows
+    return found.select("ord", "score", "title", _sites(spark, d).display_url(F.col("source_site"), F.col("page")).alias("url"))
+
+
+SQL["bm25_topk"] = _top_sql(_ASKED, 10) + f"select ord, score, title, {_BASE_SQL} as url from top join record using (ord)"
+
+
+@query
+def bm25_zero_fill(spark: SparkSession, d: str) -> DataFrame:
+    return bm25_top(_index(spark, d), "nosuchterm_at_all", 50)
+
+
+SQL["bm25_zero_fill"] = _top_sql("nosuchterm_at_all", 50) + "select * from top"
+
+
+@query
+def bm25_dup_terms(spark: SparkSession, d: str) -> DataFrame:
+    return bm25_top(_index(spark, d), "cache cache validator the the the", 30)
+
+
+SQL["bm25_dup_terms"] = _top_sql("cache cache validator the the the", 30) + "select * from top"
+
+
+@query
+def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The titles of all chunks whose id is divisible by 20, against all chunks."""
+    asked = _records(spark, d).filter("ord % 20 = 0").select(F.col("ord").alias("query_id"), F.col("title").alias("text"))
+    return bm25_many(_index(spark, d), asked, 5)
+
+
+SQL["bm25_batch"] = _TERMS_SQL + """
+, asked as (
+  select ord as query_id, term, count(*) as times from (
+    select ord, unnest(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9_#-]+'), lambda t: length(t) > 1)) as term from record where ord % 20 = 0)
+  group by all
+), scored as (
+  select a.query_id, p.ord, round(sum(a.times * t.idf * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * doc.dl / c.avgdl))), 6) as score
+  from asked a join term t on t.term = a.term join posting p on p.term = a.term join doc on doc.ord = p.ord cross join corpus c group by all
+)
+select query_id, row_number() over (partition by query_id order by score desc, ord)::int as rank, ord, score from scored
+qualify row_number() over (partition by query_id order by score desc, ord) <= 5"""
+
+
+@query
+def substring_rank(spark: SparkSession, d: str) -> DataFrame:
+    return substring_top(_records(spark, d), "Cache", 30).select("ord", "score")
+
+
+_SUBSTRING_SQL = _RECORDS_SQL + """
+, scored as (
+  select ord, 3 * ((length(t) - length(replace(t, 'cache', ''))) // 5) + (length(x) - length(replace(x, 'cache', ''))) // 5 as score
+  from (select ord, lower(coalesce(title, '')) as t, lower(coalesce(md_text, '')) as x from record)
+)"""
+SQL["substring_rank"] = _SUBSTRING_SQL + "select ord, score from scored where score > 0 order by score desc, ord limit 30"
+
+
+@query
+def substring_rank_empty(spark: SparkSession, d: str) -> DataFrame:
+    return substring_top(_records(spark, d), "", 30).select("ord", "score")
+
+
+SQL["substring_rank_empty"] = _RECORDS_SQL + """
+select ord, 3 * (length(coalesce(title, '')) + 1) + length(coalesce(md_text, '')) + 1 as score from record order by score desc, ord limit 30"""
+
+
+@query
+def substring_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("ord", substring_count(F.lower(F.coalesce("md_text", F.lit(""))), "cache").cast("bigint").alias("n"))
+
+
+SQL["substring_counts"] = _SUBSTRING_SQL.replace("3 * ((length(t) - length(replace(t, 'cache', ''))) // 5) + ", "") + "select ord, score as n from scored"
+
+_HIT = ["ord", "score", "title", "url"]
+
+
+@query
+def search_hits(spark: SparkSession, d: str) -> DataFrame:
+    return search(_index(spark, d), _ASKED, _sites(spark, d))
+
+
+_SNIPPET_SQL = r"""
+, windowed as (
+  select *, instr(lower(coalesce(md_text, '')), '{needle}') as found_at from record
+), cut as (
+  select * exclude (found_at), case when found_at > 0 then substring(md_text, greatest(found_at - 121, 0) + 1, found_at + 199 - greatest(found_at - 121, 0)) else substring(coalesce(md_text, ''), 1, 800) end as s from windowed
+), snipped as (
+  select * exclude (s), substring(trim(regexp_replace(translate(
+    regexp_replace(regexp_replace(regexp_replace(s, '(?s)`{3,}.*?`{3,}', ' ', 'g'), '(?m)^\s*\|.*\|\s*$', ' ', 'g'), '(^|\s)(\d{1,4}\s+){5,}\d{1,4}(\s|$)', ' ', 'g'),
+    '|`', '  '), '[\s\x{a0}\x{85}\x{2028}\x{3000}]+', ' ', 'g')), 1, 420) as snippet from cut
+)
+"""
+_ONE_LINE_SQL = _SNIPPET_SQL.replace("then substring(md_text", "then replace(substring(md_text").replace("greatest(found_at - 121, 0)) else", "greatest(found_at - 121, 0)), chr(10), ' ') else")
+SQL["search_hits"] = _top_sql(_ASKED, 30) + _SNIPPET_SQL.replace("{needle}", _ASKED) + f"select ord, score, title, {_BASE_SQL} as url, anchor, snippet, null::varchar as heading_title from top join snipped using (ord) order by score desc, ord limit 10"
+
+
+@query
+def search_site(spark: SparkSession, d: str) -> DataFrame:
+    """Of the best 60 hits those of the second site; there can be fewer than asked for."""
+    sites = _sites(spark, d)
+    return search(_index(spark, d), _ASKED, sites, k=20, site=sites.all[-1].name).select(_HIT)
+
+
+SQL["search_site"] = _top_sql(_ASKED, 60) + f"""
+select ord, score, title, url from (select ord, score, title, {_BASE_SQL} as url from top join record using (ord))
+where url like (select 'local://' || replace(max(repo_name), '_', '-') || '/%' from repo_config) order by score desc, ord limit 20"""
+
+
+@query
+def search_keywords(spark: SparkSession, d: str) -> DataFrame:
+    return search(_index(spark, d), "cache", _sites(spark, d), k=50, keywords="strict the").select(_HIT)
+
+
+SQL["search_keywords"] = _top_sql("cache", 150) + _SNIPPET_SQL.replace("{needle}", "cache") + f"""
+select ord, score, title, {_BASE_SQL} as url from top join snipped using (ord)
+where contains(lower(concat_ws(' ', title, snippet)), 'strict') and contains(lower(concat_ws(' ', title, snippet)), 'the') order by score desc, ord limit 50"""
+
+
+@query
+def search_heading(spark: SparkSession, d: str) -> DataFrame:
+    return search(_index(spark, d), "cache", _sites(spark, d), k=50, heading="optional").select(_HIT)
+
+
+SQL["search_heading"] = _top_sql("cache", 150) + _SNIPPET_SQL.replace("{needle}", "cache") + f"""
+select ord, score, title, {_BASE_SQL} as url from top join snipped using (ord) where contains(lower(snippet), 'optional') order by score desc, ord limit 50"""
+
+
+@query
+def search_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Substring ranking with a heading filter over the headings of each page."""
+    records = _records(spark, d)
+    titles = records.select("page", F.col("ord").alias("pos"), "title")
+    return search(records, "cache", _sites(spark, d), k=50, heading="optional", headings=titles).select(*_HIT, "heading_title")
+
+
+SQL["search_fallback"] = _SUBSTRING_SQL + ", top as (select ord, score::double as score from scored where score > 0 order by score desc, ord limit 150)" + _ONE_LINE_SQL.replace("{needle}", "cache") + f"""
+, first as (select page, arg_min(title, ord) as heading_title from record where contains(lower(title), 'optional') group by page)
+select ord, score, title, {_BASE_SQL} as url, heading_title from top join snipped using (ord) left join first using (page)
+where contains(lower(snippet), 'optional') or heading_title is not null order by score desc, ord limit 50"""
+
+
+# ---- text
+
+
+@query
+def snippets(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("ord", snippet(F.col("md_text"), F.lit("validator")).alias("snippet"))
+
+
+SQL["snippets"] = _RECORDS_SQL + _SNIPPET_SQL.replace("{needle}", "validator") + "select ord, snippet from snipped"
+
+
+@query
+def clean_snippets(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("ord", clean_snippet(F.coalesce("md_text", F.lit(""))).alias("snippet"))
+
+
+SQL["clean_snippets"] = _RECORDS_SQL + _SNIPPET_SQL.replace("substring(coalesce(md_text, ''), 1, 800)", "coalesce(md_text, '')").replace("{needle}", chr(1)) + "select ord, snippet from snipped"
+
+
+@query
+def normalize_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("ord", normalize_text(F.col("md_text")).alias("text"))
+
+
+@query
+def heading_lines(spark: SparkSession, d: str) -> DataFrame:
+    """First lines of all documents, as headings."""
+    line = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
+    return table(spark, d, "documents").select("doc_id", heading_info(line).alias("h")).select("doc_id", "h.level", "h.title", "h.anchor")
+
+
+_SLUG_SQL = r"regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '[-\s]+', '-', 'g')"
+SQL["heading_lines"] = r"""
+with line as (select doc_id, string_split(coalesce(text, ''), chr(10))[1] as l from documents),
+found as (select doc_id, regexp_extract(l, '^(#{1,6})\s+(.+)$', 1) as m, trim(regexp_extract(l, '^(#{1,6})\s+(.+)$', 2), ' ' || chr(9) || chr(13)) as t from line)
+select doc_id, length(m)::int as level, t as title, """ + _SLUG_SQL.format("t") + " as anchor from found"
+
+
+@query
+def title_slugs(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("ord", slug(F.col("title")).alias("slug"))
+
+
+SQL["title_slugs"] = _RECORDS_SQL + "select ord, " + _SLUG_SQL.format("title") + " as slug from record"
+
+
+@query
+def clean_docstrings(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "python_symbol").select("symbol_id", drop_admonitions(F.col("docstring")).alias("doc"))
+
+
+# ---- chunking and sections
+
+
+@query
+def chunk_slices(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.posexplode(slices(F.col("text"))).alias("part", "chunk"))
+
+
+SQL["chunk_slices"] = """
+select doc_id, k::int as part, substring(text, k * 4800 + 1, 4800) as chunk
+from (select doc_id, text, unnest(range(0, ceil(length(text) / 4800)::bigint)) as k from documents where text <> '')"""
+
+
+@query
+def chunk_greedy(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.posexplode(chunk_text(F.col("text"), 300, by_chars)).alias("part", "chunk"))
+
+
+SQL["chunk_greedy"] = """
+with recursive whole as (select doc_id, text, ceil(length(text) / 4)::int as n from documents where text <> ''),
+para as (
+  select doc_id, generate_subscripts(p, 1) as k, unnest(p) as t from (select doc_id, string_split(text, chr(10) || chr(10)) as p from whole where n > 300)
+), sized as (select *, ceil(length(t) / 4)::int as n from para),
+walk as (
+  select doc_id, k, n as held, 0 as part from sized where k = 1
+  union all
+  select s.doc_id, s.k, case when w.held + s.n > 300 then s.n else w.held + s.n end, case when w.held + s.n > 300 then w.part + 1 else w.part end
+  from walk w join sized s on s.doc_id = w.doc_id and s.k = w.k + 1
+)
+select w.doc_id, w.part::int as part, string_agg(s.t, chr(10) || chr(10) order by s.k) as chunk from walk w join sized s using (doc_id, k) group by all
+union all select doc_id, 0::int, text from whole where n <= 300"""
+
+
+@query
+def chunk_by_words(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks by number of words, stripped, and how many words each has."""
+    cut = table(spark, d, "documents").select("doc_id", F.posexplode(chunk_markdown(F.col("text"), 120, by_words)).alias("part", "chunk"))
+    return cut.select("doc_id", "part", by_words(F.col("chunk")).alias("words"), "chunk")
+
+
+@query
+def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
+    cut = table(spark, d, "documents").select("doc_id", F.posexplode(sections(F.col("text"))).alias("pos", "s"))
+    return cut.select("doc_id", "pos", "s.level", "s.title", "s.anchor", collapse(F.col("s.body")).alias("body"))
+
+
+_HEADING_SQL = r"trim(regexp_extract(head, '^#{1,6}\s+(.+)$', 1))"
+SQL["markdown_sections"] = r"""
+with line as (
+  select doc_id, generate_subscripts(l, 1) as k, unnest(l) as t from (select doc_id, string_split(text, chr(10)) as l from documents where text is not null)
+), marked as (
+  select *, regexp_matches(t, '^#{1,6}\s+.+$') as h, sum(case when regexp_matches(t, '^#{1,6}\s+.+$') then 1 else 0 end) over (partition by doc_id order by k) as sec from line
+), cut as (
+  select doc_id, sec, max(case when h then t end) as head, coalesce(string_agg(t, ' ' order by k) filter (not h), '') as body from marked group by doc_id, sec
+), tidy as (
+  select doc_id, sec, trim(head, ' ' || chr(9) || chr(13)) as head, trim(regexp_replace(body, '[\s\x{a0}\x{2028}\x{3000}]+', ' ', 'g')) as body from cut
+)
+select doc_id, (row_number() over (partition by doc_id order by sec) - 1)::int as pos, coalesce(length(regexp_extract(head, '^(#{1,6})\s', 1)), 0)::int as level,
+  case when head is not null then trim(regexp_extract(head, '^#{1,6}\s+(.+)$', 1)) end as title, """ + _SLUG_SQL.format(_HEADING_SQL) + " as anchor, body from tidy where body <> ''"
+
+
+def _base_urls(spark: SparkSession, d: str, df: DataFrame, site: str) -> DataFrame:
+    """With ``base_url`` of the row's site, of the first site where it has none."""
+    sites = _sites(spark, d)
+    base = F.lit(sites.first.base_url)
+    for s in sites.all[1:]:
+        base = F.when(F.col(site) == s.name, s.base_url).otherwise(base)
+    return df.withColumn("base_url", base)
+
+
+def _markdown(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "documents").select(F.format_string("docs/%s/%s.md", F.coalesce("page", F.lit("index")), "doc_id").alias("path"), "text", F.lit(_sites(spark, d).first.name).alias("source_site"))
+    return markdown_records(files, _sites(spark, d).first.base_url)
+
+
+@query
+def markdown_file_records(spark: SparkSession, d: str) -> DataFrame:
+    return _markdown(spark, d)
+
+
+def _symbols(spark: SparkSession, d: str) -> DataFrame:
+    files = latest_rows(table(spark, d, "python_source"), ["file_id"])
+    return python_symbols(files.select("file_id", F.col("source_file").alias("path"), F.col("source_text").alias("text")))
+
+
+@query
+def python_symbol_list(spark: SparkSession, d: str) -> DataFrame:
+    return _symbols(spark, d)
+
+
+@query
+def python_symbol_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What an earlier run listed against what the sources hold now, by file and symbol."""
+    now = _symbols(spark, d).filter("symbol_type <> 'module'").groupBy("path", "symbol_name").agg(F.min("line_number").alias("line"), F.count("*").alias("held"))
+    listed = table(spark, d, "python_symbol").filter("source_file is not null").groupBy(F.col("source_file").alias("path"), F.trim("symbol_name").alias("symbol_name"))
+    listed = listed.agg(F.min("line_number").alias("listed_line"), F.count("*").alias("listed"))
+    state = F.when(F.col("listed").isNull(), "missing").when(F.col("held").isNull(), "gone").when(F.col("listed") > F.col("held"), "repeated").when(F.col("line") != F.col("listed_line"), "stale").otherwise("same")
+    return now.join(listed, ["path", "symbol_name"], "full_outer").select("path", "symbol_name", state.alias("state"), "line", "listed_line")
+
+
+def _docstrings(spark: SparkSession, d: str) -> DataFrame:
+    first = _sites(spark, d).first
+    return docstring_records(_symbols(spark, d).withColumn("source_site", F.lit(first.name)), first.base_url)
+
+
+@query
+def docstring_file_records(spark: SparkSession, d: str) -> DataFrame:
+    return _docstrings(spark, d)
+
+
+@query
+def records_union(spark: SparkSession, d: str) -> DataFrame:
+    return union_records([_markdown(spark, d), _docstrings(spark, d)])
+
+
+# ---- addresses
+
+
+@query
+def resolved_urls(spark: SparkSession, d: str) -> DataFrame:
+    r = resolve(F.col("url"), _sites(spark, d))
+    return table(spark, d, "doc_chunk").filter("url is not null").select("url").distinct().filter(~is_denied(F.col("url"), _sites(spark, d))).select("url", r["site"].alias("site"), r["rel"].alias("rel"))
+
+
+SQL["resolved_urls"] = """
+with base as (select repo_name, rtrim(base_url, '/') || '/' as b from repo_config)
+select distinct url, repo_name as site, replace(ltrim(string_split(substring(url, length(b) + 1), '#')[1], '/'), '..', '') as rel from doc_chunk join base on starts_with(url, b)"""
+
+
+@query
+def denied_urls(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunk_snapshot").filter("url is not null").select("url").distinct().filter(is_denied(F.col("url"), _sites(spark, d)))
+
+
+SQL["denied_urls"] = """
+select distinct url from chunk_snapshot where lower(url) like 'http%://%' and regexp_matches(lower(url), '^https?://')
+and not exists (select 1 from repo_config where starts_with(url, rtrim(base_url, '/') || '/'))"""
+
+
+@query
+def display_urls(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("ord", _sites(spark, d).display_url(F.col("source_site"), F.col("page")).alias("display"))
+
+
+SQL["display_urls"] = _RECORDS_SQL + f"select ord, {_BASE_SQL} as display from record"
+
+
+@query
+def api_urls(spark: SparkSession, d: str) -> DataFrame:
+    symbols = _base_urls(spark, d, table(spark, d, "python_symbol"), "source_site")
+    return symbols.select("symbol_id", api_url(F.trim("symbol_name"), F.col("base_url")).alias("url"), docstring_page(F.col("source_file")).alias("page"))
+
+
+SQL["api_urls"] = """
+select symbol_id, rtrim(coalesce(r.base_url, (select arg_min(base_url, repo_name) from repo_config)), '/') || '/api/'
+  || case when contains(symbol_name, '.') then replace(lower(string_split(trim(symbol_name), '.')[2]), '_', '-') || '/' else '' end as url, replace(source_file, '.py', '') as page
+from python_symbol s left join repo_config r on r.repo_name = s.source_site"""
+
+
+@query
+def markdown_urls(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "documents").filter("page is not null").select("page").distinct()
+    path = F.concat(F.lit("docs/"), "page", F.lit("/index.md"))
+    return pages.select("page", markdown_url(markdown_page(path), _sites(spark, d).first.base_url).alias("url"))
+
+
+SQL["markdown_urls"] = """
+select distinct page, (select rtrim(arg_min(base_url, repo_name), '/') from repo_config) || '/' || rtrim(replace(replace('docs/' || page || '/index.md', '.md', ''), 'index', ''), '/') || '/' as url
+from documents where page is not null"""
+
+
+# ---- HTML pages, made of the chunks by Spark
+
+
+def _escaped(c: str) -> F.Column:
+    text = F.coalesce(c, F.lit(""))
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(plain), F.lit(entity))
+    return text
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """A page for each chunk: navigation, a heading, the text, another heading, a footer."""
+    html = F.concat(
+        F.lit("<!doctype html><html><head><style>p { x: y }</style></head><body><nav>Menu</nav><main role='main'><h1 id='top'>"), _escaped("title"),
+        F.lit("</h1><p>"), _escaped("md_text"), F.lit("</p><h2 id='more'>More</h2><p>See <a href='#top'>above</a>.</p></main><footer>End</footer></body></html>"),
+    )
+    site = F.when(F.col("source_site").isin([s.name for s in _sites(spark, d).all]), F.col("source_site")).otherwise(_sites(spark, d).first.name)
+    return _records(spark, d).select("ord", site.alias("site"), F.format_string("p/%s.html", "ord").alias("rel"), html.alias("html"))
+
+
+@query
+def html_main_text(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).select("ord", collapse(main_text("html")).alias("text"))
+
+
+_PLAIN_SQL = r"trim(regexp_replace({0}, '[\s\x{{a0}}\x{{85}}\x{{2028}}\x{{3000}}]+', ' ', 'g'))"
+SQL["html_main_text"] = _RECORDS_SQL + "select ord, " + _PLAIN_SQL.format("coalesce(title, '') || ' ' || coalesce(md_text, '') || ' More See above .'") + " as text from record"
+
+
+@query
+def html_page_headings(spark: SparkSession, d: str) -> DataFrame:
+    found = _pages(spark, d).select("ord", F.posexplode(headings("html")).alias("pos", "h"))
+    return found.select("ord", "pos", "h.anchor", collapse(F.col("h.title")).alias("title"))
+
+
+SQL["html_page_headings"] = _RECORDS_SQL + "select ord, 0::int as pos, 'top' as anchor, " + _PLAIN_SQL.format("coalesce(title, '')") + " as title from record union all select ord, 1::int, 'more', 'More' from record"
+
+
+@query
+def html_page_sections(spark: SparkSession, d: str) -> DataFrame:
+    found = _pages(spark, d).select("ord", F.posexplode(html_sections_of(F.col("html"))).alias("pos", "s"))
+    return found.select("ord", "pos", "s.anchor", "s.level", "s.markdown")
+
+
+@query
+def html_page_records(spark: SparkSession, d: str) -> DataFrame:
+    pages = _pages(spark, d).select(F.col("rel").alias("path"), F.col("html").alias("text"), F.col("site").alias("source_site"))
+    return html_records(pages, _sites(spark, d).first.base_url)
+
+
+@query
+def page_views_cut(spark: SparkSession, d: str) -> DataFrame:
+    """All pages as retrieved with a limit of 300 characters."""
+    return page_views(_pages(spark, d), _sites(spark, d), 300)
+
+
+@query
+def truncated_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("ord", truncated(F.col("md_text"), 500, TEXT_MARKER).alias("text"), truncated(F.col("title"), 5, HTML_MARKER).alias("title"))
+
+
+SQL["truncated_texts"] = _RECORDS_SQL + r"""
+select ord, case when length(md_text) > 500 then substring(md_text, 1, 500) || chr(10) || chr(10) || '[... truncated ...]' else md_text end as text,
+  case when length(title) > 5 then substring(title, 1, 5) || chr(10) || '<!-- ... truncated ... -->' else title end as title from record"""
+
+
+@query
+def page_sections(spark: SparkSession, d: str) -> DataFrame:
+    return section_views(_pages(spark, d), _sites(spark, d), F.lit("top"))
+
+
+@query
+def api_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The section of its API page for every listed symbol; all have the default page, which
+    is made of the first chunk of the site."""
+    sites = _sites(spark, d)
+    pages = _pages(spark, d).groupBy("site").agg(F.min_by("html", "ord").alias("html")).withColumn("rel", F.lit("api/index.html"))
+    symbols = table(spark, d, "python_symbol").select(F.trim("symbol_name").alias("symbol")).filter("symbol is not null").distinct()
+    return api_views(pages, sites, symbols, F.lit("top"))
+
+
+# ---- files, status, streams
+
+
+@query
+def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Records written as JSON lines and read back."""
+    path = shared_path(spark, "jsonl")
+    write_jsonl(_records(spark, d), path)
+    return read_jsonl(spark, [path]).drop("ord")
+
+
+SQL["jsonl_round_trip"] = _RECORDS_SQL + "select title, anchor, heading_level, md_text, url, page, source_site from record"
+
+
+@query
+def jsonl_count(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "jsonl")
+    written = write_jsonl(_records(spark, d), path)
+    return spark.range(1).select(F.lit(written).cast("bigint").alias("written"), F.lit(count_jsonl(spark, path)).cast("bigint").alias("counted"))
+
+
+SQL["jsonl_count"] = _RECORDS_SQL + "select count(*) as written, count(*) as counted from record"
+
+
+@query
+def status_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).groupBy("source_site").agg(F.count("*").alias("records"), F.countDistinct("page").alias("pages"), F.sum(F.octet_length("md_text")).alias("bytes"))
+
+
+SQL["status_counts"] = _RECORDS_SQL + "select source_site, count(*) as records, count(distinct page) as pages, sum(strlen(md_text))::bigint as bytes from record group by source_site"
+
+
+def _chunk_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The files of the chunk table, be it a folder or a single file."""
+    return stream(spark, d, table(spark, d, "doc_chunk").schema, only="doc_chunk.parquet")
+
+
+@query
+def stream_term_counts(spark: SparkSession, d: str) -> DataFrame:
+    return run_available(term_count_stream(_chunk_stream(spark, d)))
+
+
+SQL["stream_term_counts"] = """
+select term, count(*) as occurrences from (
+  select unnest(list_filter(regexp_split_to_array(lower(coalesce(md_text, '')), '[^a-z0-9_#-]+'), lambda t: length(t) > 1)) as term from doc_chunk)
+group by term"""
+
+
+@query
+def stream_daily_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return run_available(daily_counts(_chunk_stream(spark, d)), label="daily").select(F.col("day").cast("date").alias("day"), "n")
+
+
+SQL["stream_daily_chunks"] = "select loaded_at::date as day, count(*) as n from doc_chunk where loaded_at is not null group by 1"
