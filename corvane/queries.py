@@ -368,7 +368,7 @@ def heading_lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", heading_info(line).alias("h")).select("doc_id", "h.level", "h.title", "h.anchor")
 
 
-_SLUG_SQL = r"regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '[-\s]+', '-', 'g')"
+_SLUG_SQL = r"regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s\x{{a0}}\x{{2028}}-]', '', 'g'), '[-\s\x{{a0}}\x{{2028}}]+', '-', 'g')"
 SQL["heading_lines"] = r"""
 with line as (select doc_id, string_split(coalesce(text, ''), chr(10))[1] as l from documents),
 found as (select doc_id, regexp_extract(l, '^(#{1,6})\s+(.+)$', 1) as m, trim(regexp_extract(l, '^(#{1,6})\s+(.+)$', 2), ' ' || chr(9) || chr(13)) as t from line)
