@@ -28,7 +28,7 @@ STRETCH = 1 << 17
 
 PIECE_SCHEMA = "id bigint, piece_no int, start int, overlap int, length int, piece string"
 
-_BLANK = np.array([ord(c) for c in " \t\r\n\x0b\x0c\x85\xa0  　"], np.uint32)
+_BLANK = np.array([ord(c) for c in " \t\r\n\x0b\x0c\x85\xa0\u2028\u2029\u3000"], np.uint32)
 _STOP = np.array([ord(c) for c in ".!?;:。！？；…"], np.uint32)
 _WIDE_STOP = np.array([ord(c) for c in "。！？；"], np.uint32)
 _MARKS = np.array([c for c in range(0x300, 0x10000) if unicodedata.combining(chr(c))] + [0x200D, *range(0xFE00, 0xFE10)], np.uint32)
