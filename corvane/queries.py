@@ -23,7 +23,7 @@ from corvane.plans.pages import api_views, page_views, section_views
 from corvane.schema import Sites
 from corvane.sources.files import count_jsonl, python_symbols, read_jsonl, write_jsonl
 from corvane.sources.shared import shared_path
-from corvane.sources.tables import table
+from corvane.sources.tables import spread, table
 from corvane.streaming.incremental import daily_counts, run_available, stream, term_count_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,7 +86,7 @@ from numbered b join numbered a on a.url = b.url and a.k = b.k - 1 where a.text
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "doc_chunk").drop("ord", "build_no")
+    chunks = spread(table(spark, d, "doc_chunk").drop("ord", "build_no"))
     return latest_wide_rows(chunks, "chunk_id").drop("loaded_at").withColumnRenamed("chunk_id", "ord")
 
 
@@ -469,7 +469,7 @@ def markdown_file_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _symbols(spark: SparkSession, d: str) -> DataFrame:
-    files = latest_rows(table(spark, d, "python_source"), ["file_id"])
+    files = latest_rows(spread(table(spark, d, "python_source")), ["file_id"])
     return python_symbols(files.select("file_id", F.col("source_file").alias("path"), F.col("source_text").alias("text")))
 
 
