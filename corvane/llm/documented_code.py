@@ -1,10 +1,11 @@
 """Functions paired with their documentation.
 
 Files are parsed where they lie. A function without a documentation of its own takes
-that of the method it overrides: its class's bases are joined with the methods of these
-classes, again and again, one level of the hierarchy each time, until every function
-has found a text or its chain of bases has ended. Documentation tags that ask for the
-inherited text (`{@inheritDoc}`, `:inherit:`, `inherited` and the like) count as none.
+that of the method it overrides: the class hierarchy is joined with itself, again and
+again, each time doubling the levels that it spans, until every class has all classes
+above it; then the undocumented methods are joined with the methods of these classes,
+and the nearest documented one wins. Documentation tags that ask for the inherited text
+(`{@inheritDoc}`, `:inherit:`, `inherited` and the like) count as none.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ MIN_WORDS = 4
 UNFINISHED = ("todo", "fixme", "tbd", "xxx", "placeholder")
 FILLERS = ("a", "an", "the", "this", "that", "of", "for", "to", "in", "is", "function", "method")
 INHERIT_TAG = r"(?i)^\W*(\{?@inheritdoc\}?|:inherit(ed|doc)?:|inherited|see (the )?(base|parent|super) ?(class|method)?)\W*$"
-#: Longer chains of bases than this are taken as endless.
-MAX_LEVELS = 64
+#: Rounds of the hierarchy's closure; 2 to this power is more levels than any has.
+MAX_ROUNDS = 30
 
 
 def words(text: Column) -> Column:
@@ -46,6 +47,32 @@ def is_trivial(doc: Column, name: Column) -> Column:
     return (F.size(told) < MIN_WORDS) | unfinished | F.forall(told, lambda w: F.array_contains(own, w))
 
 
+def classes_above(symbols: DataFrame) -> DataFrame:
+    """``low, high, depth, rank, high_class``: every class above each class, over how many
+    levels, and by which base of the lower one. A base is looked up by the last part of its
+    name, in the same file, else in the lowest file_id of the site. Cycles are harmless."""
+    classes = symbols.filter("symbol_type = 'class'").select("site", "file_id", F.col("name").alias("class"), "bases")
+    base_name = F.regexp_extract(F.regexp_replace("base", r"\[.*$", ""), r"([^.]*)$", 1)
+    edges = classes.select("site", "file_id", "class", F.posexplode("bases").alias("rank", "base")).withColumn("base", base_name)
+    here = classes.select("site", "file_id", F.col("class").alias("base"), F.col("file_id").alias("_here")).distinct()
+    lowest = classes.groupBy("site", F.col("class").alias("base")).agg(F.min("file_id").alias("_lowest"))
+    edges = edges.join(here, ["site", "file_id", "base"], "left").join(lowest, ["site", "base"], "left").withColumn("target", F.coalesce("_here", "_lowest"))
+    direct = edges.filter("target is not null").select(
+        F.xxhash64("site", "file_id", "class").alias("low"), F.xxhash64("site", "target", "base").alias("high"), F.lit(1).alias("depth"), "rank", F.col("base").alias("high_class")
+    )
+    nearest = lambda df: df.filter("low <> high").groupBy("low", "high").agg(F.min(F.struct("depth", "rank", "high_class")).alias("n")).select("low", "high", "n.*")
+    above = materialize(nearest(direct), "classes-above")
+    known = above.count()
+    for _ in range(MAX_ROUNDS):
+        further = above.select(F.col("low").alias("mid"), F.col("high").alias("top"), F.col("depth").alias("more"), F.col("high_class").alias("top_class"))
+        joined = above.join(further, F.col("high") == F.col("mid")).select("low", F.col("top").alias("high"), (F.col("depth") + F.col("more")).alias("depth"), "rank", F.col("top_class").alias("high_class"))
+        above = materialize(nearest(above.unionByName(joined)), "classes-above")
+        before, known = known, above.count()
+        if known == before:
+            break
+    return above
+
+
 def documented_functions(files: DataFrame) -> DataFrame:
     """Code and description of every `def` and `async def` of the valid files.
 
@@ -55,47 +82,24 @@ def documented_functions(files: DataFrame) -> DataFrame:
     description, doc_origin, described_by``: `own` if Python itself takes the text as
     docstring, `inherited` if it comes from an overridden method, named by
     ``described_by``. Functions whose documentation is missing or trivial are dropped.
-    A base is looked up by the last part of its name within its source_site (null is a
-    site), first in the same file, then in the lowest file_id. Cycles end unresolved.
+    A null source_site is a site of its own. Of methods that a class defines twice the
+    last one is inherited.
     """
     valid = latest_rows(files.select("file_id", "source_site", "source_file", "source_text", "loaded_at"), ["file_id"])
     stem = F.regexp_extract("source_file", r"([^/]*?)(\.py)?$", 1)
+    site = F.coalesce("source_site", F.lit(""))
     parsed = valid.select("file_id", stem.alias("stem"), "source_text").mapInArrow(symbol_batches, SYMBOL_SCHEMA)
-    sites = valid.select("file_id", F.coalesce("source_site", F.lit("")).alias("site"))
-    symbols = materialize(parsed.join(sites, "file_id").withColumn("doc", drop_admonitions(F.col("own_docstring"))), "symbols")
+    symbols = parsed.withColumn("doc", drop_admonitions(F.col("own_docstring")))
+    symbols = materialize(symbols.join(valid.select("file_id", site.alias("site")), "file_id"), "symbols")
 
-    functions = symbols.filter("symbol_type in ('function', 'method')").select("file_id", "site", "symbol_name", "name", "parent_class", "line_number", "code", "doc")
+    functions = symbols.filter("symbol_type in ('function', 'method')")
     lacks = (F.col("doc") == "") | F.col("doc").rlike(INHERIT_TAG)
-    own = functions.filter(~lacks).select("file_id", "symbol_name", "line_number", "code", F.col("doc").alias("description"), F.lit("own").alias("doc_origin"), F.lit(None).cast("string").alias("described_by"))
-    found = own
-
-    edges = symbols.filter("symbol_type = 'class' and size(bases) > 0").select(
-        "site", "file_id", F.col("name").alias("class"), F.posexplode("bases").alias("rank", "base")
-    )
-    base_name = F.regexp_extract(F.regexp_replace("base", r"\[.*$", ""), r"([^.]*)$", 1)
-    edges = edges.select("site", "file_id", "class", "rank", base_name.alias("base")).filter("base <> class")
-    methods = functions.filter("parent_class is not null").select("site", F.col("file_id").alias("in_file"), F.col("parent_class").alias("class"), "name", F.when(lacks, None).otherwise(F.col("doc")).alias("text"))
-    # one row a site, class and method name: what a base of that name says, by file
-    says = methods.groupBy("site", "class", "name").agg(F.min_by("text", "in_file").alias("text"))
-    says_here = methods.groupBy("site", "in_file", "class", "name").agg(F.max("text").alias("text"))
-    up = edges.groupBy("site", "class").agg(F.min_by(F.struct("rank", "base"), F.struct("file_id", "rank")).alias("first"))
-    above_here = edges.groupBy("site", F.col("file_id").alias("in_file"), "class").agg(F.min_by("base", "rank").alias("base_here"))
-    above = up.select("site", "class", F.col("first.base").alias("base_any"))
-
-    open_ = materialize(functions.filter(lacks & F.col("parent_class").isNotNull()).withColumn("at", F.col("parent_class")), "open-methods")
-    for _ in range(MAX_LEVELS):
-        if open_.limit(1).count() == 0:
-            break
-        step = open_.join(above_here, (open_.site == above_here.site) & (open_.file_id == above_here.in_file) & (F.col("at") == above_here["class"]), "left").drop(above_here.site, "in_file", "class")
-        step = step.join(above.withColumnRenamed("site", "s"), (F.col("site") == F.col("s")) & (F.col("at") == F.col("class")), "left").drop("s", "class")
-        step = step.withColumn("base", F.coalesce("base_here", "base_any")).drop("base_here", "base_any").filter("base is not null")
-        here = says_here.select(F.col("site").alias("s"), F.col("in_file"), F.col("class").alias("base"), "name", F.col("text").alias("text_here"))
-        there = says.select(F.col("site").alias("s"), F.col("class").alias("base"), "name", F.col("text").alias("text_there"))
-        step = step.join(here.withColumnRenamed("s", "site").withColumnRenamed("in_file", "file_id"), ["site", "file_id", "base", "name"], "left")
-        step = step.join(there.withColumnRenamed("s", "site"), ["site", "base", "name"], "left")
-        step = materialize(step.withColumn("text", F.coalesce("text_here", "text_there")).drop("text_here", "text_there"), "open-methods")
-        found = found.unionByName(
-            step.filter("text is not null").select("file_id", "symbol_name", "line_number", "code", F.col("text").alias("description"), F.lit("inherited").alias("doc_origin"), F.concat_ws(".", "base", "name").alias("described_by"))
-        )
-        open_ = step.filter("text is null").withColumn("at", F.col("base")).select(open_.columns)
-    return found.filter(~is_trivial(F.col("description"), F.col("symbol_name")))
+    result = ["file_id", "symbol_name", "line_number", "code"]
+    own = functions.filter(~lacks).select(*result, F.col("doc").alias("description"), F.lit("own").alias("doc_origin"), F.lit(None).cast("string").alias("described_by"))
+
+    in_class = functions.filter("parent_class is not null").withColumn("low", F.xxhash64("site", "file_id", "parent_class"))
+    says = in_class.filter(~lacks).groupBy(F.col("low").alias("high"), "name").agg(F.max_by("doc", "line_number").alias("text"))
+    wanted = in_class.filter(lacks).select(*result, "name", "low").join(classes_above(symbols), "low").join(says, ["high", "name"])
+    nearest = wanted.groupBy(*result, "name").agg(F.min_by(F.struct("text", "high_class"), F.struct("depth", "rank", "high")).alias("n"))
+    inherited = nearest.select(*result, F.col("n.text").alias("description"), F.lit("inherited").alias("doc_origin"), F.concat_ws(".", "n.high_class", "name").alias("described_by"))
+    return own.unionByName(inherited).filter(~is_trivial(F.col("description"), F.col("symbol_name")))

@@ -18,7 +18,7 @@ from corvane.llm.token_sizes import with_token_counts
 from corvane.operators.components import connected_components
 from corvane.operators.latest import latest_wide_rows
 from corvane.sources.shared import materialize
-from corvane.sources.tables import table
+from corvane.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,7 +30,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    chunks = table(spark, d, "doc_chunk").select("chunk_id", *columns, "loaded_at")
+    chunks = spread(table(spark, d, "doc_chunk").select("chunk_id", *columns, "loaded_at"))
     return latest_wide_rows(chunks, "chunk_id").drop("loaded_at")
 
 
@@ -134,13 +134,13 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = documented_functions(table(spark, d, "python_source"))
+    pairs = documented_functions(spread(table(spark, d, "python_source")))
     return pairs.filter("doc_origin = 'own'").select("file_id", "symbol_name", "line_number")
 
 
 @query
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return documented_functions(table(spark, d, "python_source"))
+    return documented_functions(spread(table(spark, d, "python_source")))
 
 
 # ---- 4: splitting oversized chunks
@@ -173,7 +173,7 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents").select("doc_id", "source", "text")
+    documents = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
     return with_token_counts(documents, "text", ["doc_id", "source"])
 
 
@@ -182,7 +182,7 @@ APART = (("errata", "release_notes"),)
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents").select("doc_id", "source", "text")
+    documents = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
     alike = NearDuplicates(documents, "doc_id", "text", size=5, threshold=0.8, min_tokens=5)
     cluster = connected_components(alike.links()).withColumnsRenamed({"id": "class_id", "component": "group_id"})
     copies = alike.copies.join(cluster, "class_id", "left").select(F.col("id").alias("doc_id"), F.coalesce("group_id", "class_id").alias("cluster"))
@@ -223,7 +223,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents").select("doc_id", "text", "lang")
+    documents = spread(table(spark, d, "documents").select("doc_id", "text", "lang"))
     model = fit_on(documents, "text", "lang", "doc_id")
     return language_segments(documents, "doc_id", "text", model)
 
