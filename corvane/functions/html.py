@@ -53,6 +53,16 @@ def sections(html: Column) -> Column:
     return F.transform(_sections(html), clean)
 
 
+@F.pandas_udf(T.StringType())
+def _page_markdown(html: pd.Series) -> pd.Series:
+    return html.map(lambda h: htmldom.markdown(htmldom.without_boilerplate(htmldom.parse(h)).children))
+
+
+def page_markdown(html: Column) -> Column:
+    """The main content as one line of cleaned Markdown."""
+    return without_noise(_page_markdown(html))
+
+
 @F.pandas_udf(HEADINGS)
 def headings(html: pd.Series) -> pd.Series:
     return html.map(lambda h: [{"anchor": a, "title": t} for a, t in htmldom.headings(htmldom.parse(h))])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +40,12 @@ def resolve(path_or_url: Column, sites: Sites, exists_elsewhere: Column | None =
     return F.struct(site.alias("site"), rel.alias("rel"))
 
 
+def is_within(root: str, path: str) -> bool:
+    """Whether a path, once its `.` and `..` are resolved, lies below the root."""
+    top, full = (posixpath.normpath(p) for p in (root, posixpath.join(root, path)))
+    return full == top or full.startswith(top.rstrip("/") + "/")
+
+
 def api_url(symbol: Column, base: Column | str) -> Column:
     """``base/api/x/`` with the second dotted part of the symbol, else ``base/api/``."""
     base = F.rtrim(F.lit(base) if isinstance(base, str) else base, F.lit("/"))

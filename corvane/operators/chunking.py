@@ -3,31 +3,40 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corvane.functions.text import strip
 
-Counter = Callable[[Column], Column]
 MAX_TOKENS = 1200
 CHARS_PER_TOKEN = 4
 
 
-def by_chars(text: Column) -> Column:
-    """An estimate that needs no vocabulary: four characters a token."""
-    return F.ceil(F.length(text) / CHARS_PER_TOKEN).cast("int")
+@dataclass(frozen=True)
+class Counter:
+    """Sizes of texts: ``one`` of a string column, ``many`` of an array of strings. A counter
+    in SQL needs only the first; a Python function can't run inside ``transform``."""
 
+    one: Callable[[Column], Column]
+    many: Callable[[Column], Column]
 
-def by_words(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != ""))
+    @classmethod
+    def of(cls, one: Callable[[Column], Column]) -> Counter:
+        return cls(one, lambda texts: F.transform(texts, one))
+
+
+#: An estimate that needs no vocabulary: four characters a token.
+by_chars = Counter.of(lambda text: F.ceil(F.length(text) / CHARS_PER_TOKEN).cast("int"))
+by_words = Counter.of(lambda text: F.size(F.filter(F.split(text, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")))
 
 
 def greedy(text: Column, limit: int, counter: Counter, separator: str = "\n\n") -> Column:
     """Paragraphs put together while their counts (separators not counted) stay within the
     limit; a paragraph above it stays whole."""
     paragraphs = F.split(text, separator.replace("\n", "\\n"))
-    sized = F.transform(paragraphs, lambda p: F.struct(p.alias("p"), counter(p).cast("int").alias("n")))
+    sized = F.zip_with(paragraphs, counter.many(paragraphs), lambda p, n: F.struct(p.alias("p"), n.cast("int").alias("n")))
     empty = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n"))
 
     def add(s: Column, x: Column) -> Column:
@@ -45,13 +54,13 @@ def chunk_markdown(text: Column, limit: int = MAX_TOKENS, counter: Counter = by_
     """What fits is one stripped chunk, even if empty; else stripped chunks without empty ones."""
     text = F.coalesce(text, F.lit(""))
     packed = F.filter(F.transform(greedy(text, limit, counter, separator), strip), lambda c: c != "")
-    return F.when(counter(text) <= limit, F.array(strip(text))).otherwise(packed)
+    return F.when(counter.one(text) <= limit, F.array(strip(text))).otherwise(packed)
 
 
 def chunk_text(text: Column, limit: int = MAX_TOKENS, counter: Counter = by_chars, separator: str = "\n\n") -> Column:
     """Null and empty give none, what fits is left as it is, else chunks that aren't stripped."""
     none = F.array().cast("array<string>")
-    return F.when(F.coalesce(text, F.lit("")) == "", none).when(counter(text) <= limit, F.array(text)).otherwise(greedy(text, limit, counter, separator))
+    return F.when(F.coalesce(text, F.lit("")) == "", none).when(counter.one(text) <= limit, F.array(text)).otherwise(greedy(text, limit, counter, separator))
 
 
 def slices(text: Column, limit: int = MAX_TOKENS) -> Column:

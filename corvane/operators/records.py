@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.html import sections
+from corvane.functions.html import page_markdown, sections
 from corvane.functions.urls import with_anchor
 from corvane.operators.chunking import MAX_TOKENS, Counter, by_chars, chunk_markdown
 
@@ -22,3 +22,9 @@ def html_records(pages: DataFrame, base_url: Column | str, max_tokens: int = MAX
         "path", "pos", "part", title.alias("title"), F.col("s.anchor").alias("anchor"), F.col("s.level").alias("heading_level"), "md_text",
         with_anchor(F.concat(base, F.lit("/"), F.col("path")), F.col("s.anchor")).alias("url"), F.col("path").alias("page"), "source_site",
     )
+
+
+def markdown_snapshots(pages: DataFrame) -> DataFrame:
+    """``name, markdown``: the main content of each page, named by site and path."""
+    name = F.concat("source_site", F.lit("-"), F.regexp_replace(F.translate("path", "/", "_"), r"\.html$", ""), F.lit(".md"))
+    return pages.select(name.alias("name"), page_markdown(F.col("text")).alias("markdown"))

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from corvane.functions.html import headings, main_text
 from corvane.functions.html import sections as html_sections_of
 from corvane.functions.text import HTML_MARKER, TEXT_MARKER, clean_snippet, collapse, drop_admonitions, heading_info, normalize_text, slug, snippet, substring_count, tokenize, truncated
+from corvane.functions.token_sizes import tokenizer, with_token_counts
 from corvane.functions.urls import api_url, docstring_page, is_denied, markdown_page, markdown_url, resolve
 from corvane.operators.chunking import by_chars, by_words, chunk_markdown, chunk_text, slices
 from corvane.operators.index import Index, build_index
 from corvane.operators.latest import latest_rows, latest_wide_rows
 from corvane.operators.rank import bm25_many, bm25_top, substring_top
-from corvane.operators.records import html_records
+from corvane.operators.records import html_records, markdown_snapshots
 from corvane.operators.search import search
 from corvane.operators.sections import docstring_records, markdown_records, sections, union_records
 from corvane.operators.snapshots import canonical_url, layout_free, snapshot_changes, with_values
@@ -425,7 +426,7 @@ union all select doc_id, 0::int, text from whole where n <= 300"""
 def chunk_by_words(spark: SparkSession, d: str) -> DataFrame:
     """Chunks by number of words, stripped, and how many words each has."""
     cut = table(spark, d, "documents").select("doc_id", F.posexplode(chunk_markdown(F.col("text"), 120, by_words)).alias("part", "chunk"))
-    return cut.select("doc_id", "part", by_words(F.col("chunk")).alias("words"), "chunk")
+    return cut.select("doc_id", "part", by_words.one(F.col("chunk")).alias("words"), "chunk")
 
 
 @query
@@ -609,6 +610,11 @@ def html_page_records(spark: SparkSession, d: str) -> DataFrame:
     return html_records(pages, _sites(spark, d).first.base_url)
 
 
+@query
+def html_page_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return markdown_snapshots(_pages(spark, d).select(F.col("rel").alias("path"), F.col("html").alias("text"), F.col("site").alias("source_site")))
+
+
 @query
 def page_views_cut(spark: SparkSession, d: str) -> DataFrame:
     """All pages as retrieved with a limit of 300 characters."""
@@ -694,3 +700,16 @@ def stream_daily_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["stream_daily_chunks"] = "select loaded_at::date as day, count(*) as n from doc_chunk where loaded_at is not null group by 1"
+
+
+@query
+def token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of all chunks in tokens of a public tokenizer."""
+    return with_token_counts(_records(spark, d), "md_text", ["ord"])
+
+
+@query
+def chunk_by_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """All documents packed into chunks of at most 256 tokens of a public tokenizer."""
+    documents = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return documents.select("doc_id", F.posexplode(chunk_text(F.col("text"), 256, tokenizer())).alias("part", "chunk"))

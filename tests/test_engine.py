@@ -6,7 +6,8 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from corvane.functions.urls import api_page, api_url, resolve
+from corvane.__main__ import main
+from corvane.functions.urls import api_page, api_url, is_within, resolve
 from corvane.plans.engine import Engine, Layout
 from corvane.schema import RECORD_COLUMNS, Site, Sites
 from corvane.sources.files import count_jsonl, file_stats, python_symbols, read_html, read_jsonl, read_markdown, read_python_symbols, read_search_index, write_jsonl
@@ -129,3 +130,21 @@ def test_streams(spark, tmp_path):
     append_postings(source(), str(tmp_path / "index"), str(tmp_path / "offsets")).awaitTermination()
     append_postings(source(), str(tmp_path / "index"), str(tmp_path / "offsets")).awaitTermination()  # nothing new
     assert spark.read.parquet(str(tmp_path / "index" / "postings")).filter("term = 'cache'").agg(F.sum("tf")).first()[0] == 6
+
+
+def test_command_line(spark, tree, capsys):
+    options = ["--data-dir", str(tree / "cli"), "--site", "alpha=https://a.example/latest", "--html", f"alpha={tree / 'one'}"]
+    assert main([*options, "ingest", "alpha"]) == 0
+    assert main([*options, "rebuild"]) == 0
+    assert main([*options, "search", "model", "-k", "1"]) == 0
+    assert main([*options, "status"]) == 0
+    lines = capsys.readouterr().out.strip().split("\n")
+    assert lines[0] == "4" and json.loads(lines[1])["records"] == 4
+    assert json.loads(lines[2])["url"] == "local://alpha/api/index.html" and json.loads(lines[3])["valid"]
+    with pytest.raises(SystemExit):
+        main([*options, "ingest", "beta"])
+
+
+def test_is_within():
+    assert is_within("/a/b", "c/d") and is_within("/a/b", "") and is_within("/a/b", "c/../d")
+    assert not is_within("/a/b", "../c") and not is_within("/a/b", "/etc") and not is_within("/a/b", "../bc")

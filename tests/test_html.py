@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import htmldom as H
 from corvane.functions.html import decode_lossy, decode_strict, headings, main_text, section_text, sections, text_by_line
-from corvane.operators.records import html_records
+from corvane.operators.records import html_records, markdown_snapshots
 from corvane.plans.pages import page_views, section_views
 from corvane.schema import Site, Sites
 
@@ -79,6 +79,8 @@ def test_records_and_views(spark):
     got = sorted((tuple(r[c] for c in ("path", "pos", "title", "anchor", "url")) for r in html_records(pages, "https://a.example/").collect()), key=str)
     assert got[0] == ("a/b.html", 0, "Title & more", "top", "https://a.example/a/b.html#top") and len(got) == 6
     assert ("c.html", 0, "c.html", None, "https://a.example/c.html") in got and ("d/", 0, "index", None, "https://a.example/d/") in got
+    names = {r["name"]: r["markdown"] for r in markdown_snapshots(pages).collect()}
+    assert set(names) == {"alpha-a_b.md", "alpha-c.md", "alpha-d_.md"} and names["alpha-a_b.md"].startswith("# Title & more First **bold** [link](/x) loose text ## One alpha")
     views = pages.select(F.col("source_site").alias("site"), F.col("path").alias("rel"), F.col("text").alias("html"))
     cut = {r["path"]: r for r in page_views(views, SITES, 10).collect()}
     assert cut["a/b.html"]["truncated"] and cut["a/b.html"]["text"].endswith("\n\n[... truncated ...]") and cut["a/b.html"]["html_length"] == len(PAGE)
