@@ -14,7 +14,7 @@ from corvane.llm.near_duplicates import NearDuplicates
 from corvane.llm.ngram_counts import mark_terms, ngram_counts
 from corvane.llm.packing import fill_report, pack
 from corvane.llm.splitting import split_oversized
-from corvane.llm.token_sizes import with_token_counts
+from corvane.functions.token_sizes import with_token_counts
 from corvane.operators.components import connected_components
 from corvane.operators.latest import latest_wide_rows
 from corvane.sources.shared import materialize
