@@ -51,9 +51,22 @@ class Node:
     def heading_level(self) -> int:
         return int(self.tag[1]) if len(self.tag) == 2 and self.tag[0] == "h" and self.tag[1] in "123456" else 0
 
-    def matches(self, selector: str) -> bool:
-        tag, cls, role = _SELECTOR.match(selector).groups()
-        return (not tag or self.tag == tag) and (not cls or cls in self.attrs.get("class", "").split()) and (not role or self.attrs.get("role") == role)
+    def matches(self, rules: Rules) -> bool:
+        classes = self.attrs.get("class")
+        return any(
+            (not tag or self.tag == tag) and (not cls or (classes is not None and cls in classes.split())) and (not role or self.attrs.get("role") == role)
+            for tag, cls, role in rules.get(self.tag, rules[""])
+        )
+
+
+Rules = dict[str, list[tuple[str, str, str]]]
+
+
+def compiled(selectors: list[str]) -> Rules:
+    """Selectors by the tag they can match; those of any tag stand under each and under ''."""
+    parts = [tuple(x or "" for x in _SELECTOR.match(s).groups()) for s in selectors]
+    anywhere = [p for p in parts if not p[0]]
+    return {tag: [p for p in parts if p[0] in ("", tag)] for tag in {p[0] for p in parts}} | {"": anywhere}
 
 
 class _Builder(HTMLParser):
@@ -99,11 +112,16 @@ def parse(html: str | None) -> Node:
     return builder.root
 
 
+_BOILERPLATE = compiled(BOILERPLATE)
+_MAIN_CONTENT = [compiled([s]) for s in MAIN_CONTENT]
+
+
 def without_boilerplate(root: Node) -> Node:
     """Drop navigation and the like, keep only the main content if there is one."""
     _prune(root)
-    for selector in MAIN_CONTENT:
-        main = next((n for n in root.walk() if n.matches(selector)), None)
+    nodes = list(root.walk())
+    for rules in _MAIN_CONTENT:
+        main = next((n for n in nodes if n.matches(rules)), None)
         if main is not None:
             top = Node("", {}, None)
             top.children.append(main)
@@ -115,7 +133,7 @@ def _prune(node: Node) -> None:
     stack = [node]
     while stack:
         x = stack.pop()
-        x.children = [c for c in x.children if isinstance(c, str) or not any(c.matches(s) for s in BOILERPLATE)]
+        x.children = [c for c in x.children if isinstance(c, str) or not c.matches(_BOILERPLATE)]
         stack.extend(c for c in x.children if isinstance(c, Node))
 
 

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -16,10 +17,10 @@ def shared_dir(spark: SparkSession) -> str:
     Only where the session names none (tests, a laptop) a local folder is made and
     kept for the life of the context.
     """
-    sc = spark.sparkContext
-    named = sc.getConf().get(SETTING)
+    named = spark.conf.get(SETTING, None)
     if named:
         return named.rstrip("/")
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
     return sc.getCheckpointDir().rstrip("/")
@@ -27,7 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what this application has put into the shared folder so far, and return how
+    many paths that were. Results that haven't been written elsewhere can't be read after."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    return len(paths)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

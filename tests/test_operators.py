@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 
 import pytest
@@ -17,6 +18,7 @@ from corvane.operators.search import clamp_k, search
 from corvane.operators.sections import markdown_records, sections
 from corvane.operators.snapshots import canonical_url, layout_free, snapshot_changes
 from corvane.schema import Site, Sites, checked_site
+from corvane.sources.shared import materialize, shared_dir
 
 SITES = Sites((Site("alpha", "https://a.example/latest"), Site("alpha_two", "https://b.example/")))
 
@@ -220,3 +222,10 @@ def test_snapshots(spark):
     assert snapshot_changes(df.limit(0), "snapshot_no", F.col("url"), F.col("md_text")).count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan  # buckets meet buckets
+
+
+def test_shared_folder(spark):
+    named = SimpleNamespace(sparkContext=None, conf=SimpleNamespace(get=lambda key, default: {"spark.checkpoint.dir": "hdfs://x/shared/"}.get(key, default)))
+    assert shared_dir(named) == "hdfs://x/shared"
+    kept = materialize(spark.range(5), "five")
+    assert kept.count() == 5 and "/five-" in kept.inputFiles()[0]
