@@ -49,16 +49,17 @@ def build_index(records: DataFrame, path: str | None = None, text: str = "md_tex
     """Compute the index once and write it below ``path`` (default: the shared folder).
 
     ``key`` must be unique; it breaks ties. Null texts count as records without tokens.
-    Postings are laid out by term, so that a query reads the row groups of its terms.
+    Postings are laid out by term and records by ``ord``, so that a query reads the row
+    groups of its terms, and then those of the records that it returns.
     """
     spark = records.sparkSession
     path = path or shared_path(spark, "index")
     records = records.withColumn("ord", F.col(key)) if key != "ord" else records
-    records.write.mode("overwrite").parquet(f"{path}/records")
+    parts = cluster or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    records.repartitionByRange(parts, "ord").sortWithinPartitions("ord").write.mode("overwrite").parquet(f"{path}/records")
     stored = spark.read.parquet(f"{path}/records")
     doc_lengths(stored, text).write.mode("overwrite").parquet(f"{path}/docs")
     frequencies = term_frequencies(stored, text).select("term", "ord", "tf", "dl")
-    parts = cluster or int(spark.conf.get("spark.sql.shuffle.partitions"))
     frequencies.repartitionByRange(parts, "term", "ord").sortWithinPartitions("term", "ord").write.mode("overwrite").parquet(f"{path}/postings")
     n, total = spark.read.parquet(f"{path}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
     terms = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", raw_idf(F.lit(n), F.col("df")))

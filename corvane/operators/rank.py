@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,24 +22,42 @@ def weight(tf: Column, dl: Column, avgdl: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
+def any_of(column: str, values: list) -> Column:
+    """Equal to one of a few values, as equalities: unlike a long IN list these all reach
+    the Parquet scan, where row groups without any of the values are skipped."""
+    return reduce(lambda a, b: a | b, [F.col(column) == F.lit(v) for v in values], F.lit(False))
+
+
 def bm25_scores(index: Index, query: str) -> DataFrame:
     """``ord, score`` of the records that hold a token of the query; repeated tokens count
     again. Only the postings of these tokens are read."""
     times = Counter(query_tokens(query))
-    wanted = list(times)
+    wanted = any_of("term", list(times))
     repeats = F.create_map(*[F.lit(x) for t in times.items() for x in t])[F.col("term")] if times else F.lit(0)
-    terms = index.terms.filter(F.col("term").isin(wanted)).select("term", (F.col("idf") * repeats).alias("w"))  # one row a token of the query
-    hit = index.postings.filter(F.col("term").isin(wanted)).join(F.broadcast(terms), "term")
+    terms = index.terms.filter(wanted).select("term", (F.col("idf") * repeats).alias("w"))  # one row a token of the query
+    hit = index.postings.filter(wanted).join(F.broadcast(terms), "term")
     return hit.groupBy("ord").agg(F.round(F.sum(F.col("w") * weight(F.col("tf"), F.col("dl"), index.avgdl)), 6).alias("score"))
 
 
 def bm25_top(index: Index, query: str, k: int = 10) -> DataFrame:
-    """The ``k`` best records, ties by ``ord``. Records without any token of the query score
-    0 and fill up what is missing."""
-    if not index.n:
-        return index.docs.select("ord", F.lit(0.0).alias("score")).limit(0)
-    scored = index.docs.select("ord").join(bm25_scores(index, query), "ord", "left").select("ord", F.coalesce("score", F.lit(0.0)).alias("score"))
-    return scored.orderBy(F.desc("score"), "ord").limit(max(0, k))
+    """``ord, score`` of the ``k`` best records, ties by ``ord``.
+
+    Records without any token of the query score 0 and fill up what is missing; the other
+    records are looked at only where fewer than ``k`` score more than that. The ``k`` rows
+    come to the driver, which then asks for just these records.
+    """
+    order = [F.desc("score"), F.asc("ord")]
+    top = bm25_scores(index, query).orderBy(*order).limit(max(0, k)).collect() if query_tokens(query) else []
+    if len(top) < k or any(r["score"] <= 0 for r in top):
+        scored = index.docs.select("ord").join(bm25_scores(index, query), "ord", "left").select("ord", F.coalesce("score", F.lit(0.0)).alias("score"))
+        top = scored.orderBy(*order).limit(max(0, k)).collect()
+    return index.records.sparkSession.createDataFrame([(r["ord"], r["score"]) for r in top], f"ord {index.records.schema['ord'].dataType.simpleString()}, score double").coalesce(1)
+
+
+def fetch(index: Index, top: DataFrame) -> DataFrame:
+    """The records of a ranking of a few rows, with their scores."""
+    wanted = [r["ord"] for r in top.select("ord").collect()]
+    return index.records.filter(any_of("ord", wanted)).join(F.broadcast(top), "ord")
 
 
 def bm25_many(index: Index, queries: DataFrame, k: int = 10, key: str = "query_id", text: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ from corvane.functions.urls import api_url, docstring_page, is_denied, markdown_
 from corvane.operators.chunking import by_chars, by_words, chunk_markdown, chunk_text, slices
 from corvane.operators.index import Index, build_index
 from corvane.operators.latest import latest_rows, latest_wide_rows
-from corvane.operators.rank import bm25_many, bm25_top, substring_top
+from corvane.operators.rank import bm25_many, bm25_top, fetch, substring_top
 from corvane.operators.records import html_records, markdown_snapshots
 from corvane.operators.search import search
 from corvane.operators.sections import docstring_records, markdown_records, sections, union_records
@@ -198,8 +198,7 @@ _BASE_SQL = "case when source_site in (select repo_name from repo_config where r
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     index = _index(spark, d)
     top = bm25_top(index, _ASKED, 10)
-    found = index.records.join(F.broadcast(top), "ord")  # ten rows
-    return found.select("ord", "score", "title", _sites(spark, d).display_url(F.col("source_site"), F.col("page")).alias("url"))
+    return fetch(index, top).select("ord", "score", "title", _sites(spark, d).display_url(F.col("source_site"), F.col("page")).alias("url"))
 
 
 SQL["bm25_topk"] = _top_sql(_ASKED, 10) + f"select ord, score, title, {_BASE_SQL} as url from top join record using (ord)"
@@ -362,6 +361,16 @@ def normalize_chunks(spark: SparkSession, d: str) -> DataFrame:
     return _records(spark, d).select("ord", normalize_text(F.col("md_text")).alias("text"))
 
 
+_WS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
+SQL["normalize_chunks"] = _RECORDS_SQL + r"""
+, marked as (
+  select ord, regexp_replace(regexp_replace(regexp_replace(replace(trim(coalesce(md_text, ''), {ws}), chr(13), ''), '(?m)^\s*#+\s*$', '', 'g'), '(?m)^\s*[-*_]+\s*$', '', 'g'), '(?m)^\s*>\s*$', '', 'g') as t from record
+), tidy as (
+  select ord, array_to_string(list_transform(string_split(t, chr(10)), lambda l: trim(regexp_replace(l, '[\s\x{a0}\x{2028}\x{3000}]+', ' ', 'g'))), chr(10)) as t from marked
+)
+select ord, trim(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), {ws}) as text from tidy""".replace("{ws}", _WS_SQL)
+
+
 @query
 def heading_lines(spark: SparkSession, d: str) -> DataFrame:
     """First lines of all documents, as headings."""
@@ -389,6 +398,19 @@ def clean_docstrings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "python_symbol").select("symbol_id", drop_admonitions(F.col("docstring")).alias("doc"))
 
 
+SQL["clean_docstrings"] = r"""
+with line as (
+  select symbol_id, generate_subscripts(l, 1) as k, unnest(l) as t from (select symbol_id, string_split(coalesce(docstring, ''), chr(10)) as l from python_symbol)
+), typed as (
+  select *, case when starts_with(trim(t, {ws}), '!!!') or starts_with(trim(t, {ws}), '???') then 1
+    when trim(t, {ws}) = '' or starts_with(t, '    ') or starts_with(t, chr(9)) then null else 0 end as kind from line
+), told as (
+  select *, last_value(kind ignore nulls) over (partition by symbol_id order by k rows unbounded preceding) as state from typed
+)
+select symbol_id, trim(regexp_replace(coalesce(string_agg(t, chr(10) order by k) filter (not (coalesce(kind, 0) = 1 or (kind is null and coalesce(state, 0) = 1))), ''), '\n{4,}', repeat(chr(10), 3), 'g'), {ws}) as doc
+from told group by symbol_id""".replace("{ws}", _WS_SQL)
+
+
 # ---- chunking and sections
 
 
