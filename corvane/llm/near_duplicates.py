@@ -44,6 +44,8 @@ COUNTERS_LOG2 = 22
 COUNTER_BLOCK = 1 << 16
 #: Entries of the matrix that one task multiplies, about.
 ENTRIES_PER_BLOCK = 4_000_000
+#: Candidates that a task holds before it hands them on.
+PAIRS_HELD = 2_000_000
 #: A column with more records than this is cut into sub-blocks.
 SUB_BLOCK = 4096
 
@@ -238,8 +240,18 @@ def _entries(levels, threshold: float, blocks: int):
 ENTRY_SCHEMA = "block int, ids binary, sizes binary, sketches binary, columns binary, owners binary, parts binary"
 
 
+def _as_batches(pairs: list[np.ndarray], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if not pairs:
+        return
+    found = np.unique(np.concatenate(pairs))
+    x, y = ids[found // len(ids)], ids[found % len(ids)]
+    for at in range(0, len(found), 1 << 16):
+        a, b = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+        yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
 def _multiply(threshold: float):
-    """Candidates of one block: pairs that the bounds don't rule out, each once."""
+    """Candidates of one block: pairs that the bounds don't rule out, as a rule each once."""
 
     def product(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[list[np.ndarray]] = [[] for _ in range(6)]
@@ -280,15 +292,10 @@ def _multiply(threshold: float):
                 if k.any():
                     pairs.append(np.minimum(i[k], j[k]) * len(ids) + np.maximum(i[k], j[k]))
                     held += int(k.sum())
-            if held > 4_000_000:
-                pairs = [np.unique(np.concatenate(pairs))]
-                held = 0
-        if pairs:
-            found = np.unique(np.concatenate(pairs))
-            x, y = ids[found // len(ids)], ids[found % len(ids)]
-            for at in range(0, len(found), 1 << 16):
-                a, b = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            if held > PAIRS_HELD:  # what comes again is dropped after the exchange
+                yield from _as_batches(pairs, ids)
+                pairs, held = [], 0
+        yield from _as_batches(pairs, ids)
 
     return product
 

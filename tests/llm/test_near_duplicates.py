@@ -47,6 +47,7 @@ def test_against_brute_force(spark, monkeypatch, size, threshold, least, small_b
     if small_blocks:  # many column blocks, and shared columns cut into sub-blocks
         monkeypatch.setattr(N, "ENTRIES_PER_BLOCK", 500)
         monkeypatch.setattr(N, "SUB_BLOCK", 8)
+        monkeypatch.setattr(N, "PAIRS_HELD", 20)
     rows = list(enumerate(corpus(size)))
     rows += [(1000, None), (1001, ""), (None, rows[0][1]), (1002, rows[3][1]), (1003, rows[3][1].upper())]
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "id2 long, text string, a int, grams string")
