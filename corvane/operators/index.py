@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions.text import tokenize
+from corvane.functions.text import count_tokens, tokenize
 from corvane.sources.shared import shared_path
 
 # The ranking's parameters.
@@ -30,7 +30,7 @@ class Index:
 
 
 def doc_lengths(records: DataFrame, text: str = "md_text", key: str = "ord") -> DataFrame:
-    return records.select(F.col(key).alias("ord"), F.size(tokenize(F.col(text))).alias("dl"))
+    return records.select(F.col(key).alias("ord"), count_tokens(F.col(text)).alias("dl"))
 
 
 def term_frequencies(records: DataFrame, text: str = "md_text", key: str = "ord") -> DataFrame:

@@ -9,13 +9,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import substring_count, tokenize
+from corvane.functions.text import TOKEN, substring_count, tokenize
 from corvane.operators.index import B, K1, Index
 
 
 def query_tokens(query: str) -> list[str]:
     """The tokens of a query text, as ``tokenize`` cuts records."""
-    return [t for t in re.split("[^a-z0-9_#-]+", query.lower()) if len(t) > 1]
+    return re.findall(TOKEN, query.lower())
 
 
 def weight(tf: Column, dl: Column, avgdl: float) -> Column:
