@@ -23,7 +23,8 @@ sub-blocks, and the pairs of sub-blocks are spread over tasks.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.tokens import tokenize
+from corvane.llm.tokens import Tokens, tokenize
 from corvane.operators.checked import join_measured, measured
 from corvane.sources.shared import materialize
 
@@ -42,6 +43,8 @@ SKETCH_BITS = 256
 #: Columns are counted in so many hashed counters, of fixed size whatever the input.
 COUNTERS_LOG2 = 22
 COUNTER_BLOCK = 1 << 16
+#: Bytes of text whose tokens a task holds at once, about; a longer text is held whole.
+TEXT_BYTES = 1 << 21
 #: Entries of the matrix that one task multiplies, about.
 ENTRIES_PER_BLOCK = 4_000_000
 #: Candidates that a task holds before it hands them on.
@@ -91,30 +94,52 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1 << 14) -> Iterator[
             yield batch.slice(start, rows)
 
 
-def gram_sets(lowered: pa.Array, size: int, min_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+def _text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with so much text in their second column that a task's memory stays small."""
+    for batch in _slices(batches):
+        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size, dtype=np.int64) // TEXT_BYTES
+        edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for start, end in pairwise(edges):
+            yield batch.slice(start, end - start)
+
+
+def _whole_texts(h: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One hash for all ``n`` tokens (a few) of each text."""
+    whole = n.astype(np.uint64)
+    for k in range(n.max(initial=0)):
+        longer = n > k
+        whole[longer] = _mix(whole[longer] * _M3 + h[start[longer] + k] + np.uint64(k))
+    return whole
+
+
+def gram_sets(lowered: pa.Array, size: int, min_tokens: int, tokens_of: Callable[[pa.Array], Tokens] = tokenize, short_whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-grams of each text: record numbers and 40-bit hashes, both ascending."""
-    tokens = tokenize(lowered)
+    tokens = tokens_of(lowered)
     words = np.array([xxhash.xxh3_64_intdigest(w) for w in tokens.dictionary.to_pylist()], np.uint64)
-    enough = np.bincount(tokens.record, minlength=tokens.n_records) >= max(min_tokens, size)
-    if len(tokens.code) < size:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    per_text = np.bincount(tokens.record, minlength=tokens.n_records)
+    enough = per_text >= max(min_tokens, size)
     h = words[tokens.code] if len(words) else np.zeros(0, np.uint64)
-    end = len(h) - size + 1
+    end = max(0, len(h) - size + 1)
     grams = np.zeros(end, np.uint64)
     for k in range(size):
         grams = _mix(grams * _M1 + h[k : k + end] + np.uint64(k))
     record = tokens.record[:end]
-    whole = (record == tokens.record[size - 1 :]) & enough[record]
+    whole = (record == tokens.record[size - 1 :][:end]) & enough[record]
     grams, record = grams[whole] >> np.uint64(64 - GRAM_BITS), record[whole]
+    if short_whole:
+        short = np.flatnonzero((per_text > 0) & ~enough)
+        texts = _whole_texts(h, (np.cumsum(per_text) - per_text)[short], per_text[short])
+        grams, record = np.append(grams, texts >> np.uint64(64 - GRAM_BITS)), np.append(record, short)
     both = np.sort((record.astype(np.uint64) << np.uint64(GRAM_BITS)) | grams)
     both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
     return (both >> np.uint64(GRAM_BITS)).astype(np.int64), both & np.uint64((1 << GRAM_BITS) - 1)
 
 
-def _to_gram_rows(size: int, min_tokens: int):
+def _to_gram_rows(size: int, min_tokens: int, tokens_of: Callable[[pa.Array], Tokens], short_whole: bool):
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            record, grams = gram_sets(batch.column(1), size, min_tokens)
+        for batch in _text_slices(batches):
+            record, grams = gram_sets(batch.column(1), size, min_tokens, tokens_of, short_whole)
             n = np.bincount(record, minlength=batch.num_rows)
             has = np.flatnonzero(n)
             if not len(has):
@@ -139,10 +164,13 @@ def _to_gram_rows(size: int, min_tokens: int):
     return convert
 
 
-def gram_table(df: DataFrame, id_column: str, text: str, size: int, min_tokens: int) -> DataFrame:
-    """One row a record with at least ``min_tokens`` tokens (and at least one n-gram)."""
+def gram_table(
+    df: DataFrame, id_column: str, text: str, size: int, min_tokens: int, tokens_of: Callable[[pa.Array], Tokens] = tokenize, short_whole: bool = False
+) -> DataFrame:
+    """One row a record with at least ``min_tokens`` tokens (and at least one n-gram), or
+    with ``short_whole`` at least one token."""
     source = df.select(F.col(id_column).cast("bigint").alias("id"), F.lower(F.col(text)).alias("text"))
-    return source.filter("id is not null and text is not null").mapInArrow(_to_gram_rows(size, min_tokens), GRAM_SCHEMA)
+    return source.filter("id is not null and text is not null").mapInArrow(_to_gram_rows(size, min_tokens, tokens_of, short_whole), GRAM_SCHEMA)
 
 
 def column_counts(grams: DataFrame) -> np.ndarray:
@@ -318,14 +346,26 @@ class NearDuplicates:
 
     ``id_column`` must be unique. Null ids and null, empty or too short texts take part
     in nothing. Equal texts are in one class. Texts are taken whole. Other columns are
-    not read. An empty table has no class and no link.
+    not read. An empty table has no class and no link. ``tokens_of`` finds the tokens of
+    lower-cased texts. With ``short_whole`` the sequence of all its tokens is the one
+    n-gram of a text that is too short.
     """
 
-    def __init__(self, df: DataFrame, id_column: str, text: str, size: int = 5, threshold: float = 0.8, min_tokens: int = 1):
+    def __init__(
+        self,
+        df: DataFrame,
+        id_column: str,
+        text: str,
+        size: int = 5,
+        threshold: float = 0.8,
+        min_tokens: int = 1,
+        tokens_of: Callable[[pa.Array], Tokens] = tokenize,
+        short_whole: bool = False,
+    ):
         if not 0 < threshold <= 1:
             raise ValueError("threshold must be above 0 and at most 1")
         self.spark, self.threshold = df.sparkSession, threshold
-        self.grams = materialize(gram_table(df, id_column, text, size, min_tokens), "grams")
+        self.grams = materialize(gram_table(df, id_column, text, size, min_tokens, tokens_of, short_whole), "grams")
         sets = ["n", "key1", "key2"]
         narrow = self.grams.select("id", *sets)
         equal = narrow.groupBy(*sets).agg(F.min("id").alias("class_id"), F.count("*").alias("copies")).filter("copies > 1")

@@ -14,6 +14,7 @@ from corvane.llm.near_duplicates import NearDuplicates
 from corvane.llm.ngram_counts import mark_terms, ngram_counts
 from corvane.llm.packing import fill_report, pack
 from corvane.llm.splitting import split_oversized
+from corvane.llm.tokens import unicode_words
 from corvane.functions.token_sizes import with_token_counts
 from corvane.operators.components import connected_components
 from corvane.operators.latest import latest_wide_rows
@@ -183,7 +184,7 @@ APART = (("errata", "release_notes"),)
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     documents = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
-    alike = NearDuplicates(documents, "doc_id", "text", size=5, threshold=0.8, min_tokens=5)
+    alike = NearDuplicates(documents, "doc_id", "text", size=5, threshold=0.8, min_tokens=5, tokens_of=unicode_words, short_whole=True)
     cluster = connected_components(alike.links()).withColumnsRenamed({"id": "class_id", "component": "group_id"})
     copies = alike.copies.join(cluster, "class_id", "left").select(F.col("id").alias("doc_id"), F.coalesce("group_id", "class_id").alias("cluster"))
     alone = cluster.join(alike.copies.select("class_id").distinct(), "class_id", "left_anti").select(F.col("class_id").alias("doc_id"), F.col("group_id").alias("cluster"))
