@@ -5,7 +5,8 @@ that of the method it overrides: the class hierarchy is joined with itself, agai
 again, each time doubling the levels that it spans, until every class has all classes
 above it; then the undocumented methods are joined with the methods of these classes,
 and the nearest documented one wins. Documentation tags that ask for the inherited text
-(`{@inheritDoc}`, `:inherit:`, `inherited` and the like) count as none.
+(`{@inheritDoc}`, `:inherit:`, `inherited` and the like) give way to that text if there
+is any.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def classes_above(symbols: DataFrame) -> DataFrame:
     return above
 
 
-def documented_functions(files: DataFrame) -> DataFrame:
+def documented_functions(files: DataFrame, inherit_tags: bool = True) -> DataFrame:
     """Code and description of every `def` and `async def` of the valid files.
 
     ``files`` has file_id, source_site, source_file, source_text, loaded_at; of a
@@ -82,6 +83,9 @@ def documented_functions(files: DataFrame) -> DataFrame:
     description, doc_origin, described_by``: `own` if Python itself takes the text as
     docstring, `inherited` if it comes from an overridden method, named by
     ``described_by``. Functions whose documentation is missing or trivial are dropped.
+    A docstring that only asks for the inherited text is replaced by it, but where there
+    is none, or a trivial one, it is judged like any other; without ``inherit_tags`` it
+    always is.
     A null source_site is a site of its own. Of methods that a class defines twice the
     last one is inherited.
     """
@@ -93,13 +97,26 @@ def documented_functions(files: DataFrame) -> DataFrame:
     symbols = materialize(symbols.join(valid.select("file_id", site.alias("site")), "file_id"), "symbols")
 
     functions = symbols.filter("symbol_type in ('function', 'method')")
-    lacks = (F.col("doc") == "") | F.col("doc").rlike(INHERIT_TAG)
+    tagged = F.col("doc").rlike(INHERIT_TAG) if inherit_tags else F.lit(False)
+    lacks = (F.col("doc") == "") | tagged
     result = ["file_id", "symbol_name", "line_number", "code"]
     own = functions.filter(~lacks).select(*result, F.col("doc").alias("description"), F.lit("own").alias("doc_origin"), F.lit(None).cast("string").alias("described_by"))
 
     in_class = functions.filter("parent_class is not null").withColumn("low", F.xxhash64("site", "file_id", "parent_class"))
     says = in_class.filter(~lacks).groupBy(F.col("low").alias("high"), "name").agg(F.max_by("doc", "line_number").alias("text"))
     wanted = in_class.filter(lacks).select(*result, "name", "low").join(classes_above(symbols), "low").join(says, ["high", "name"])
-    nearest = wanted.groupBy(*result, "name").agg(F.min_by(F.struct("text", "high_class"), F.struct("depth", "rank", "high")).alias("n"))
-    inherited = nearest.select(*result, F.col("n.text").alias("description"), F.lit("inherited").alias("doc_origin"), F.concat_ws(".", "n.high_class", "name").alias("described_by"))
-    return own.unionByName(inherited).filter(~is_trivial(F.col("description"), F.col("symbol_name")))
+    candidates = wanted.select(*result, "name", F.struct("text", "high_class").alias("told"), F.struct("depth", "rank", "high").alias("at"))
+    if inherit_tags:
+        candidates = candidates.unionByName(functions.filter(tagged).select(*result, "name", F.col("doc").alias("self")), allowMissingColumns=True)
+    else:
+        candidates = candidates.withColumn("self", F.lit(None).cast("string"))
+    # a null place is that of the function's own text, which no min_by takes
+    nearest = candidates.groupBy(*result, "name").agg(F.min_by("told", "at").alias("n"), F.max("self").alias("self"))
+    takes = F.col("n.text").isNotNull() & ~is_trivial(F.col("n.text"), F.col("symbol_name"))
+    inherited = nearest.select(
+        *result,
+        F.when(takes, F.col("n.text")).otherwise(F.col("self")).alias("description"),
+        F.when(takes, "inherited").otherwise("own").alias("doc_origin"),
+        F.when(takes, F.concat_ws(".", "n.high_class", "name")).alias("described_by"),
+    )
+    return own.unionByName(inherited.filter("description is not null")).filter(~is_trivial(F.col("description"), F.col("symbol_name")))

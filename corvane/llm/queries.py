@@ -135,7 +135,7 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = documented_functions(spread(table(spark, d, "python_source")))
+    pairs = documented_functions(spread(table(spark, d, "python_source")), inherit_tags=False)
     return pairs.filter("doc_origin = 'own'").select("file_id", "symbol_name", "line_number")
 
 
