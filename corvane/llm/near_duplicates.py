@@ -47,6 +47,8 @@ COUNTER_BLOCK = 1 << 16
 TEXT_BYTES = 1 << 21
 #: Entries of the matrix that one task multiplies, about.
 ENTRIES_PER_BLOCK = 4_000_000
+#: Entries that a task holds before it hands them on, about.
+ENTRIES_HELD = 4_000_000
 #: Candidates that a task holds before it hands them on.
 PAIRS_HELD = 2_000_000
 #: A column with more records than this is cut into sub-blocks.
@@ -210,6 +212,39 @@ def need(n_large, n_small, threshold: float):
     return np.ceil(threshold / (1 + threshold) * (n_large + n_small) - _EPS).astype(np.int64)
 
 
+def _share(level: np.ndarray) -> np.ndarray:
+    """In how many pairs of sub-blocks an entry of a column takes part: columns that many
+    records share are cut, and each sub-block of records meets each other one."""
+    return np.maximum(np.ceil((np.exp2(level / 8.0) * 1.1 - 1) / SUB_BLOCK), 1).astype(np.int64)
+
+
+def _n_first(n: np.ndarray, threshold: float) -> np.ndarray:
+    """How many of a record's columns are sent to the blocks."""
+    return n - np.ceil(threshold * n - _EPS).astype(np.int64) + 1
+
+
+def _sent(levels, threshold: float):
+    """How many entries ``_entries`` will send, a row for each batch."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share_of = _share(np.arange(256))
+        for batch in _slices(batches):
+            n = batch.column(0).to_numpy().astype(np.int64)
+            first, starts = _n_first(n, threshold), np.cumsum(n) - n
+            share = share_of[levels.value[(unpack(_flat(batch.column(1))[0]) >> np.uint64(GRAM_BITS - COUNTERS_LOG2)).astype(np.int64)]]
+            cut = np.maximum.reduceat(share, starts) > 1
+            sent = int(first[~cut].sum())
+            # the share grows with the level, by which a record's columns are in order
+            inside, record = np.repeat(cut, n), np.repeat(np.arange(len(n)), n)
+            share, record = share[inside], record[inside]
+            share = share[np.lexsort((share, record))]
+            place = np.arange(len(share)) - np.repeat(np.cumsum(n[cut]) - n[cut], n[cut])
+            sent += int(share[place < first[record]].sum())
+            yield pa.record_batch([pa.array([sent])], names=["sent"])
+
+    return count
+
+
 def _entries(levels, threshold: float, blocks: int):
     """Send the first columns of each record to the blocks that multiply them.
 
@@ -233,34 +268,39 @@ def _entries(levels, threshold: float, blocks: int):
             column, level = column[order], level[order]
             place = np.arange(len(record)) - np.repeat(np.cumsum(n) - n, n)
             size = n[record]
-            first = place < size - np.ceil(threshold * size - _EPS).astype(np.int64) + 1
+            first = place < _n_first(size, threshold)
             column, level, place, owner, size = column[first], level[first], place[first], record[first], size[first]
-            part = np.minimum(place * 256 // size, 255).astype(np.uint8)
-            # columns that many records share: each sub-block of records meets each other one
-            share = np.ceil((np.exp2(level / 8.0) * 1.1 - 1) / SUB_BLOCK).astype(np.int64)
-            cut = np.flatnonzero(share > 1)
-            if len(cut):
-                mine = (_mix(ids[owner[cut]].astype(np.uint64)) % share[cut].astype(np.uint64)).astype(np.int64)
-                times = share[cut]
-                which = np.repeat(np.arange(len(cut)), times)
-                other = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-                low, high = np.minimum(mine[which], other), np.maximum(mine[which], other)
-                pair = _mix(column[cut][which] ^ (low.astype(np.uint64) << np.uint64(20)) ^ high.astype(np.uint64)) >> np.uint64(24)
-                rest = np.flatnonzero(share <= 1)
-                column, part, owner = np.concatenate([column[rest], pair]), np.concatenate([part[rest], part[cut][which]]), np.concatenate([owner[rest], owner[cut][which]])
-            block = (column % np.uint64(blocks)).astype(np.int64)
-            order = np.argsort(block * len(ids) + owner, kind="stable")
-            block, owner, column, part = block[order], owner[order], (column[order] // np.uint64(blocks)).astype(np.uint32), part[order]
-            edges = np.searchsorted(block, np.arange(blocks + 1))
-            rows = []
-            for b in range(blocks):
-                s = slice(edges[b], edges[b + 1])
-                if s.start == s.stop:
-                    continue
-                who, local = np.unique(owner[s], return_inverse=True)
-                rows.append((b, ids[who].tobytes(), n[who].astype(np.int32).tobytes(), sketches[who].tobytes(), column[s].tobytes(), local.astype(np.uint16).tobytes(), part[s].tobytes()))
-            if rows:
-                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 7)]], names=["block", "ids", "sizes", "sketches", "columns", "owners", "parts"])
+            part, share = np.minimum(place * 256 // size, 255).astype(np.uint8), _share(level)
+            # entries of cut columns are many times as many when sent; a record's stay together
+            held = (np.cumsum(np.bincount(owner, share, len(ids))) // ENTRIES_HELD)[owner]
+            edges = [0, *(np.flatnonzero(held[1:] != held[:-1]) + 1).tolist(), len(held)]
+            for start, end in pairwise(edges):
+                yield from emit(ids, n, sketches, *(x[start:end] for x in (column, part, owner, share)))
+
+    def emit(ids, n, sketches, column, part, owner, share) -> Iterator[pa.RecordBatch]:
+        cut = np.flatnonzero(share > 1)
+        if len(cut):
+            mine = (_mix(ids[owner[cut]].astype(np.uint64)) % share[cut].astype(np.uint64)).astype(np.int64)
+            times = share[cut]
+            which = np.repeat(np.arange(len(cut)), times)
+            other = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+            low, high = np.minimum(mine[which], other), np.maximum(mine[which], other)
+            pair = _mix(column[cut][which] ^ (low.astype(np.uint64) << np.uint64(20)) ^ high.astype(np.uint64)) >> np.uint64(24)
+            rest = np.flatnonzero(share == 1)
+            column, part, owner = np.concatenate([column[rest], pair]), np.concatenate([part[rest], part[cut][which]]), np.concatenate([owner[rest], owner[cut][which]])
+        block = (column % np.uint64(blocks)).astype(np.int64)
+        order = np.argsort(block * len(ids) + owner, kind="stable")
+        block, owner, column, part = block[order], owner[order], (column[order] // np.uint64(blocks)).astype(np.uint32), part[order]
+        edges = np.searchsorted(block, np.arange(blocks + 1))
+        rows = []
+        for b in range(blocks):
+            s = slice(edges[b], edges[b + 1])
+            if s.start == s.stop:
+                continue
+            who, local = np.unique(owner[s], return_inverse=True)
+            rows.append((b, ids[who].tobytes(), n[who].astype(np.int32).tobytes(), sketches[who].tobytes(), column[s].tobytes(), local.astype(np.uint16).tobytes(), part[s].tobytes()))
+        if rows:
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 7)]], names=["block", "ids", "sizes", "sketches", "columns", "owners", "parts"])
 
     return convert
 
@@ -377,9 +417,9 @@ class NearDuplicates:
         t = self.threshold
         others = self.copies.filter("id != class_id").select("id")
         records = join_measured(self.grams, others, self.n_copies, ["id"], "left_anti")
-        total = records.agg(F.sum("n")).first()[0] or 0
-        blocks = max(1, math.ceil(total * (1 - t) / ENTRIES_PER_BLOCK))
         levels = self.spark.sparkContext.broadcast(column_counts(records))
+        sent = records.select("n", "grams").mapInArrow(_sent(levels, t), "sent bigint").agg(F.sum("sent")).first()[0] or 0
+        blocks = max(1, math.ceil(sent / ENTRIES_PER_BLOCK))
         entries = records.select("id", "n", "sketch", "grams").mapInArrow(_entries(levels, t, blocks), ENTRY_SCHEMA)
         pairs = entries.groupBy("block").applyInArrow(_multiply(t), "a bigint, b bigint").distinct()
         pairs = materialize(pairs, "candidates")
