@@ -1,8 +1,8 @@
 """How often every n-gram occurs, and in how many records.
 
 Each task builds the suffix array of the block of records it is given: all token
-positions, sorted by the tokens that follow them within the record. Neighbours share
-a prefix; a maximal stretch of neighbours that share at least n tokens is the interval
+positions, sorted by all the tokens that follow them within the record (ranks of
+prefixes of doubled length). Neighbours share a prefix, whose length the ranks give; a maximal stretch of neighbours that share at least n tokens is the interval
 of one n-gram, and its length is the n-gram's number of occurrences. Two suffixes of
 one record in the same interval would count the record twice, so each suffix is linked
 to the one before it that belongs to the same record, and a link inside the interval
@@ -28,6 +28,36 @@ from corvane.llm.tokens import Tokens, tokenize
 SCHEMA = "term string, n int, occurrences bigint, records bigint"
 
 
+def suffix_array(first: np.ndarray, record: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions sorted by all that follows in their record, and the number of tokens that
+    each shares with the one before it. ``first`` has the tokens' ranks, from 1."""
+    size = len(first)
+    _, inverse, counts = np.unique(record, return_inverse=True, return_counts=True)
+    left = np.cumsum(counts)[inverse] - np.arange(size)  # tokens to the record's end
+    ranks = [first]  # ranks[k]: of the 2 to the power of k tokens from a position on
+    distinct, step = len(np.unique(first)), 1
+    while step < counts.max() and distinct < size:
+        further = np.zeros(size, np.int64)
+        inside = np.flatnonzero(left > step)
+        further[inside] = ranks[-1][inside + step]
+        values, rank = np.unique(ranks[-1] * (size + 1) + further, return_inverse=True)
+        if len(values) == distinct:  # nothing told apart, so nothing will be
+            break
+        ranks.append(rank + 1)
+        distinct, step = len(values), step * 2
+    suffixes = np.argsort(ranks[-1], kind="stable")  # equal ones stay in text order
+    x, y = suffixes[1:], suffixes[:-1]
+    longest, common = np.minimum(left[x], left[y]), np.zeros(size - 1, np.int64)
+    same = np.flatnonzero(ranks[-1][x] == ranks[-1][y])
+    common[same] = longest[same]  # if the doubling went on, they would never differ
+    apart = np.flatnonzero(ranks[-1][x] != ranks[-1][y])
+    for k in range(len(ranks) - 1, -1, -1):
+        at = apart[common[apart] < longest[apart]]
+        at = at[ranks[k][x[at] + common[at]] == ranks[k][y[at] + common[at]]]
+        common[at] += 1 << k
+    return suffixes, np.minimum(common, longest)
+
+
 def suffix_intervals(tokens: Tokens, max_n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For n = 1..max_n: n, a token position of each n-gram, its occurrences, its records."""
     size = len(tokens.code)
@@ -36,29 +66,19 @@ def suffix_intervals(tokens: Tokens, max_n: int) -> Iterator[tuple[int, np.ndarr
     order = pc.sort_indices(tokens.dictionary).to_numpy(zero_copy_only=False)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(1, len(order) + 1)
-    first = rank[tokens.code]
-    keys = [first]  # keys[k][i]: rank of the token k places after i, 0 beyond the record's end
-    for k in range(1, max_n):
-        key = np.zeros(size, np.int64)
-        if size > k:
-            same = tokens.record[k:] == tokens.record[:-k]
-            key[:-k][same] = first[k:][same]
-        keys.append(key)
-    suffixes = np.lexsort(keys[::-1]) if max_n > 1 else np.argsort(first, kind="stable")  # equal ones stay in text order
+    suffixes, common = suffix_array(rank[tokens.code], tokens.record)
+    ends = np.searchsorted(tokens.record, tokens.record, side="right")
     record = tokens.record[suffixes]
     by_record = np.argsort(record, kind="stable")
     link = np.full(size, -1)
     same = record[by_record][1:] == record[by_record][:-1]
     link[by_record[1:][same]] = by_record[:-1][same]
-    shared = np.ones(size - 1, bool)  # neighbours share n tokens
-    for n, key in enumerate(keys, 1):
-        key = key[suffixes]
-        shared &= (key[1:] == key[:-1]) & (key[1:] > 0)
-        starts = np.flatnonzero(np.append(True, ~shared))
+    for n in range(1, max_n + 1):
+        starts = np.flatnonzero(np.append(True, common < n))
         interval_start = np.repeat(starts, np.diff(np.append(starts, size)))
         occurrences = np.diff(np.append(starts, size))
         repeats = np.add.reduceat((link >= interval_start).astype(np.int64), starts)
-        whole = key[starts] > 0  # else the record ends before the n-th token
+        whole = (ends[suffixes] - suffixes)[starts] >= n  # else the record ends before the n-th token
         yield n, suffixes[starts][whole], occurrences[whole], (occurrences - repeats)[whole]
 
 
