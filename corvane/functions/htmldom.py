@@ -180,42 +180,49 @@ def section_text(root: Node, anchor: str) -> str:
 _WRAP = {"strong": "**", "b": "**", "em": "*", "i": "*", "code": "`", "kbd": "`", "samp": "`", "del": "~~"}
 
 
-def markdown(content: list[Node | str], depth: int = 0) -> str:
-    """Markdown of a fragment, with `#` headings."""
-    out = []
-    for x in content:
-        if isinstance(x, str):
+def markdown(content: list[Node | str]) -> str:
+    """Markdown of a fragment, with `#` headings, however deep its elements are nested."""
+    # an element, what is left of its content, its Markdown so far, its cells
+    stack: list[tuple[Node | None, Iterator[Node | str], list[str], list[str]]] = [(None, iter(content), [], [])]
+    while True:
+        node, rest, out, cells = stack[-1]
+        x = next(rest, None)
+        if x is None:
+            stack.pop()
+            inner = "".join(out)
+            if node is None:
+                return inner
+            stack[-1][2].append(_marked_up(node, inner, cells))
+            if node.tag in ("td", "th"):
+                stack[-1][3].append(" ".join(inner.split()))
+        elif isinstance(x, str):
             out.append(x)
-            continue
-        if x.tag in _RAW or depth > 200:
-            continue
-        if x.tag == "pre":
+        elif x.tag == "pre":
             out.append(f"\n\n```\n{x.text()}\n```\n\n")
-            continue
-        inner = markdown(x.children, depth + 1)
-        if x.heading_level:
-            out.append(f"\n\n{'#' * x.heading_level} {' '.join(inner.split())}\n\n")
-        elif x.tag in _WRAP and inner.strip():
-            out.append(f"{_WRAP[x.tag]}{inner.strip()}{_WRAP[x.tag]}")
-        elif x.tag == "a" and x.attrs.get("href") and inner.strip():
-            out.append(f"[{inner.strip()}]({x.attrs['href']})")
-        elif x.tag == "img":
-            out.append(f"![{x.attrs.get('alt', '')}]({x.attrs.get('src', '')})")
-        elif x.tag == "br":
-            out.append("\n")
-        elif x.tag == "hr":
-            out.append("\n\n---\n\n")
-        elif x.tag == "li":
-            ordered = x.parent is not None and x.parent.tag == "ol"
-            number = 1 + sum(isinstance(c, Node) and c.tag == "li" for c in x.parent.children[: x.parent.children.index(x)]) if ordered else 0
-            out.append(f"\n{f'{number}.' if ordered else '*'} {inner.strip()}")
-        elif x.tag == "blockquote":
-            out.append("\n\n" + "\n".join(f"> {line}" for line in inner.strip().split("\n")) + "\n\n")
-        elif x.tag == "tr":
-            cells = [" ".join(markdown(c.children, depth + 1).split()) for c in x.children if isinstance(c, Node) and c.tag in ("td", "th")]
-            out.append(f"\n| {' | '.join(cells)} |\n")
-        elif x.tag in _BLOCKS:
-            out.append(f"\n\n{inner}\n\n")
-        else:
-            out.append(inner)
-    return "".join(out)
+        elif x.tag not in _RAW:
+            stack.append((x, iter(x.children), [], []))
+
+
+def _marked_up(x: Node, inner: str, cells: list[str]) -> str:
+    """Markdown of one element, from that of its content."""
+    if x.heading_level:
+        return f"\n\n{'#' * x.heading_level} {' '.join(inner.split())}\n\n"
+    if x.tag in _WRAP and inner.strip():
+        return f"{_WRAP[x.tag]}{inner.strip()}{_WRAP[x.tag]}"
+    if x.tag == "a" and x.attrs.get("href") and inner.strip():
+        return f"[{inner.strip()}]({x.attrs['href']})"
+    if x.tag == "img":
+        return f"![{x.attrs.get('alt', '')}]({x.attrs.get('src', '')})"
+    if x.tag == "br":
+        return "\n"
+    if x.tag == "hr":
+        return "\n\n---\n\n"
+    if x.tag == "li":
+        ordered = x.parent is not None and x.parent.tag == "ol"
+        number = 1 + sum(isinstance(c, Node) and c.tag == "li" for c in x.parent.children[: x.parent.children.index(x)]) if ordered else 0
+        return f"\n{f'{number}.' if ordered else '*'} {inner.strip()}"
+    if x.tag == "blockquote":
+        return "\n\n" + "\n".join(f"> {line}" for line in inner.strip().split("\n")) + "\n\n"
+    if x.tag == "tr":
+        return f"\n| {' | '.join(cells)} |\n"
+    return f"\n\n{inner}\n\n" if x.tag in _BLOCKS else inner
