@@ -385,6 +385,20 @@ found as (select doc_id, regexp_extract(l, '^(#{1,6})\s+(.+)$', 1) as m, trim(re
 select doc_id, length(m)::int as level, t as title, """ + _SLUG_SQL.format("t") + " as anchor from found"
 
 
+@query
+def document_headings(spark: SparkSession, d: str) -> DataFrame:
+    """All headings of all documents, with their line."""
+    lines = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", "line_no", heading_info(F.col("line")).alias("h")).filter("h.level > 0").select("doc_id", "line_no", "h.level", "h.title", "h.anchor")
+
+
+SQL["document_headings"] = r"""
+with listed as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null),
+line as (select doc_id, unnest(range(0, len(ls)))::int as line_no, unnest(ls) as l from listed),
+found as (select doc_id, line_no, regexp_extract(l, '^(#{1,6})\s+(.+)$', 1) as m, trim(regexp_extract(l, '^(#{1,6})\s+(.+)$', 2), ' ' || chr(9) || chr(13)) as t from line)
+select doc_id, line_no, length(m)::int as level, t as title, """ + _SLUG_SQL.format("t") + " as anchor from found where m <> ''"
+
+
 @query
 def title_slugs(spark: SparkSession, d: str) -> DataFrame:
     return _records(spark, d).select("ord", slug(F.col("title")).alias("slug"))
