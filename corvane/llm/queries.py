@@ -215,6 +215,13 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).mixed()
 
 
+@query
+def p7_deviations(spark: SparkSession, d: str) -> DataFrame:
+    """How far each source is ahead of its share or behind it, at most, anywhere in the mix."""
+    mix = _mix(spark, d)
+    return mix.deviations(materialize(mix.mixed(), "mix"))
+
+
 @query
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).shares()

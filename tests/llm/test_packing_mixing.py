@@ -2,13 +2,12 @@ from __future__ import annotations
 
 import random
 from collections import Counter, defaultdict
-from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import packing as P
-from corvane.llm.mixing import Mix, blocks_per_round, fair_schedule, shares_out
+from corvane.llm.mixing import Mix, fair_order, shares_out
 
 
 def test_best_fit():
@@ -59,17 +58,34 @@ def test_fill(spark):
     assert report["filled"] > 0.98 and report["tokens"] == items.agg(F.sum("n_tokens")).first()[0]
 
 
-def test_schedule_deviates_less_than_a_block():
+def most_deviation(placed, gives):
+    """Brute force over (source, tokens) in order of the mix."""
+    whole, seen, done, most = sum(gives.values()), Counter(), 0, 0.0
+    for source, tokens in placed:
+        seen[source] += tokens
+        done += tokens
+        most = max(most, *(abs(seen[s] - g * done / whole) for s, g in gives.items()))
+    return most
+
+
+def test_order_deviates_less_than_a_block():
     random.seed(3)
-    for _ in range(30):
-        blocks = {f"s{k}": random.randint(1, 60) for k in range(random.randint(1, 9))}
-        slots = sum(blocks.values())
-        seen: Counter = Counter()
-        for t, (s, i) in enumerate(fair_schedule(blocks), 1):
-            assert i == seen[s]
-            seen[s] += 1
-            assert all(abs(seen[x] - Fraction(n * t, slots)) < 1 for x, n in blocks.items())
-        assert seen == Counter(blocks)
+    for _ in range(40):
+        sizes = {f"s{k}": [random.choice([1, 5, random.randint(1, 100)]) for _ in range(random.randint(1, 60))] for k in range(random.randint(1, 9))}
+        gives = {s: sum(x) for s, x in sizes.items()}
+        whole, blocks = sum(gives.values()), []
+        for s, x in sizes.items():
+            at = 0
+            for n in x:
+                blocks.append((s, at * whole / gives[s], (at + n) * whole / gives[s], n))
+                at += n
+        order = fair_order(blocks)
+        assert sorted(order) == list(range(len(blocks)))
+        for s in sizes:
+            mine = [k for k in order if blocks[k][0] == s]
+            assert mine == sorted(mine)
+        assert most_deviation([(blocks[k][0], blocks[k][3]) for k in order], gives) < max(max(x) for x in sizes.values()) + 1e-6
+    assert fair_order([]) == []
 
 
 def test_shares():
@@ -77,37 +93,37 @@ def test_shares():
     assert shares_out({"big": 1000, "small": 50}, targets, 1050) == {"big": 950, "small": 100, "none": 0}
     assert shares_out({"big": 1000, "small": 1000}, targets, 800) == {"big": 500, "small": 300, "none": 0}
     assert shares_out({}, targets, 10) == {"big": 0, "small": 0, "none": 0}
-    n = blocks_per_round({"a": 700, "b": 299, "c": 1, "d": 0}, 100)
-    assert n["a"] == 70 and n["b"] >= 29 and n["c"] >= 1 and "d" not in n
 
 
-def test_mix(spark):
+@pytest.mark.parametrize("windows", [3, 256])
+def test_mix(spark, windows):
     random.seed(4)
     rows = [(k, random.choice(["Big", " big", "BIG", "big"]) if k % 3 else "Small-One", random.randint(1, 50)) for k in range(900)]
     rows += [(2000, "other", 10), (2001, None, 10), (None, "big", 10), (2002, "big", None), (2003, "big", 0)]
     items = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, source string, n_tokens long, at int")
     targets = spark.createDataFrame([("big", 0.25, 2), ("small_one", 0.7, 2), ("absent", 0.05, 4)], "source string, target_share double, max_repeats int")
-    mix = Mix(items, targets, block_tokens=200, slots=20)
-    got = sorted(mix.mixed().collect(), key=lambda r: (r["slot"], r["source"], r["at"]))
+    mix = Mix(items, targets, block_tokens=60, window_blocks=windows)
+    got = sorted(mix.mixed().collect(), key=lambda r: (r["window_no"], r["place"]))
     used = Counter(r["doc_id"] for r in got)
     assert max(used.values()) <= 2 and len({(r["doc_id"], r["repeat_no"]) for r in got}) == len(got)
     totals = Counter()
     for r in got:
+        assert r["at"] == totals[r["source"]]  # each source's stream is in order and without gaps
         totals[r["source"]] += r["n_tokens"]
     for s, g in mix.gives.items():
         assert abs(totals[s] - g) <= 50
-    whole, running = sum(totals.values()), Counter()
-    block = max(mix.gives[s] / (mix.per_round[s] * mix.rounds) for s in totals)
-    slots = defaultdict(list)
+    whole = sum(totals.values())
+    gives = {s: g for s, g in mix.gives.items() if g}
+    assert most_deviation([(r["source"], r["n_tokens"]) for r in got], gives) < mix.block_tokens
+    position = {(r["doc_id"], r["repeat_no"]): r["position"] for r in mix.positions(mix.mixed()).collect()}
+    before = 0
     for r in got:
-        slots[r["slot"]].append(r)
-    for slot in sorted(slots):
-        for r in slots[slot]:
-            running[r["source"]] += r["n_tokens"]
-        share = (slot + 1) / (mix.round_slots * mix.rounds)
-        assert all(abs(running[s] - totals[s] * share) <= block + 100 for s in totals)
+        assert position[r["doc_id"], r["repeat_no"]] == before
+        before += r["n_tokens"]
+    told = mix.deviations(mix.mixed()).collect()
+    assert {r["source"] for r in told} == set(gives) and all(max(r["most_ahead"], r["most_behind"]) < r["block_tokens"] for r in told)
     report = {r["source"]: r for r in mix.shares().collect()}
     assert report["absent"]["used_tokens"] == 0 and report["big"]["used_tokens"] == totals["big"]
     assert sum(r["reached_share"] for r in report.values()) == pytest.approx(1) and whole == sum(r["used_tokens"] for r in report.values())
     assert Mix(items.limit(0), targets).mixed().count() == 0 and Mix(items, targets.limit(0)).mixed().count() == 0
-    assert Mix(items.limit(0), targets).shares().count() == 3
+    assert Mix(items.limit(0), targets).shares().count() == 3 and Mix(items.limit(0), targets).deviations(Mix(items.limit(0), targets).mixed()).count() == 0
