@@ -55,7 +55,21 @@ def test_fill(spark):
     items = spark.createDataFrame([(k, "s", None, random.randint(20, 700)) for k in range(4000)], "doc_id long, source string, cluster long, n_tokens long")
     kinds = spark.createDataFrame([("m", 2048)], "container_name string, capacity_tokens int")
     report = P.fill_report(P.pack(items, kinds), kinds).first()
-    assert report["filled"] > 0.98 and report["tokens"] == items.agg(F.sum("n_tokens")).first()[0]
+    assert report["filled"] > 0.99 and report["containers"] >= report["least_containers"] and report["tokens"] == items.agg(F.sum("n_tokens")).first()[0]
+
+
+def test_rounds_fill_the_containers_of_many_groups(spark, monkeypatch):
+    random.seed(5)
+    # copies of a small text, and a capacity that a group of few items can't fill well
+    rows = [(k, "s", 1 if k < 40 else None, 30 if k < 40 else random.randint(20, 700)) for k in range(3000)]
+    items = spark.createDataFrame(rows, "doc_id long, source string, cluster long, n_tokens long")
+    kinds = spark.createDataFrame([("m", 16384)], "container_name string, capacity_tokens int")
+    monkeypatch.setattr(P, "ITEMS_PER_GROUP", 100)
+    monkeypatch.setattr(P, "CONTAINERS_PER_GROUP", 3)
+    packed = P.pack(items, kinds)
+    assert packed.count() == packed.select("doc_id").distinct().count() == 3000 and packed.select("pack_group").distinct().count() > 5
+    report = P.fill_report(packed, kinds).first()
+    assert report["containers"] <= report["least_containers"] + 2
 
 
 def most_deviation(placed, gives):
