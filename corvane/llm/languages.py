@@ -4,7 +4,9 @@ The model holds, for each language, a probability of every piece of a fixed publ
 vocabulary. A word can be cut into pieces in many ways; its probability in a language is
 the sum over all of them, which a forward pass over the word's bytes computes: the sum
 for a prefix is that of each shorter prefix times the probability of the piece between.
-The probability of a paragraph is the product over its words.
+All pieces of the vocabulary take part, and words of any length are taken whole; the pass
+keeps only the sums that the longest piece reaches back to. The probability of a paragraph
+is the product over its words.
 
 The pieces' probabilities are fitted by expectation maximisation on a bounded sample of
 labelled documents. Labels are wrong at times, so that a first model relabels the
@@ -18,10 +20,11 @@ import html
 import os
 import re
 import unicodedata
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, pairwise
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -33,13 +36,19 @@ VOCABULARY = os.environ.get("CORVANE_VOCABULARY", "/opt/tokenizers/byte_bpe_mult
 LANGUAGES = ("de", "en", "es", "fr", "it", "ja", "nl", "pt", "ru", "zh")
 #: The model is fitted on at most so many labelled documents of each language.
 SAMPLE_DOCUMENTS = 400
-#: Longest piece and longest part of a word, in bytes; longer words are cut.
-MAX_PIECE, MAX_PART = 12, 24
+#: For fitting only, the words of the sample are cut into parts of at most so many bytes.
+SAMPLE_PART = 48
+#: Bytes of words that are looked up in the vocabulary at once, about.
+WORD_BYTES = 1 << 16
+#: Every so many bytes the forward sums are scaled back to 1, and all along by a factor
+#: a byte, so that no word is too long for floating point.
+RESCALE, LIFT = 16, 6.0
 EM_ROUNDS, RELABEL_ROUNDS, SMOOTHING = 3, 2, 0.05
 #: A paragraph is held to be in another language than most of its text only if that is
 #: more probable by this factor's logarithm.
 MARGIN = 6.0
-REMEMBERED = 400_000
+#: Words of at most so many bytes are remembered by a worker, and how many of them.
+REMEMBERED_BYTES, REMEMBERED = 64, 200_000
 
 # ISO 639 codes and English names of the languages.
 CODES = {
@@ -72,6 +81,7 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[9, 11, 12, 13, 32]] = True
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
+_PIECE = re.compile(rb" ?[a-z\x80-\xff]+")
 #: What a word of a natural language doesn't have: digits, underscores, capitals inside.
 _IDENTIFIER = re.compile(r"[0-9_]|[a-zß-öø-ÿ][A-ZÀ-ÖØ-Þ]")
 
@@ -191,80 +201,124 @@ def prose(texts: pa.Array) -> Prose:
     return Prose(record, number, inverse, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), words)
 
 
-def parts(word: str) -> list[bytes]:
-    """A word as the model sees it: composed, lower case, with a blank before it, in parts
-    of at most ``MAX_PART`` bytes; none if it is an identifier."""
-    if _IDENTIFIER.search(word):
-        return []
-    plain = unicodedata.normalize("NFC", word).lower()
-    out, part = [], b" "
-    for c in plain:
-        c = c.encode()
-        if len(part) + len(c) > MAX_PART:
-            out.append(part)
-            part = b""
-        part += c
-    out.append(part)
-    return out
+def spelled(word: str) -> bytes:
+    """A word as the model sees it: composed, lower case, with a blank before it; empty if it
+    is an identifier."""
+    return b"" if _IDENTIFIER.search(word) else b" " + unicodedata.normalize("NFC", word).lower().encode()
+
+
+def parts(word: bytes, limit: int = SAMPLE_PART) -> list[bytes]:
+    """A spelled word in parts of at most ``limit`` bytes, cut between characters."""
+    out, start = [], 0
+    while len(word) - start > limit:
+        end = start + limit
+        while word[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(word[start:end])
+        start = end
+    return [*out, word[start:]] if word else []
 
 
 # ---- the model
 
 
 def read_vocabulary(path: str) -> list[bytes]:
+    """All pieces that can occur in a word, ASCII in lower case, and every single byte. No word
+    holds a digit, a punctuation mark of ASCII, or a blank but the one before it."""
     with open(path, "rb") as f:
-        pieces = [base64.b64decode(line.split()[0]) for line in f]
-    pieces = {p.lower() for p in pieces if len(p) <= MAX_PIECE}
-    return sorted(pieces | {bytes([b]) for b in range(256)})
-
-
-class Segmentations:
-    """All pieces of a list of parts, grouped by the parts' length."""
-
-    def __init__(self, items: list[bytes], number: dict[bytes, int]):
-        groups = defaultdict(list)
-        for k, item in enumerate(items):
-            groups[len(item)].append(k)
-        self.groups = []
-        for size, members in sorted(groups.items()):
-            edges = []
-            for end in range(1, size + 1):
-                for start in range(max(0, end - MAX_PIECE), end):
-                    ids = np.fromiter((number.get(items[k][start:end], -1) for k in members), np.int64, len(members))
-                    has = np.flatnonzero(ids >= 0)
-                    if len(has):
-                        edges.append((start, end, has, ids[has]))
-            self.groups.append((size, np.array(members), edges))
-        self.n = len(items)
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """Log-probability of each part under each column of ``p``, over all segmentations."""
-        out = np.zeros((self.n, p.shape[1]))
-        for size, members, edges in self.groups:
-            alpha = self._alpha(size, len(members), edges, p)
-            out[members] = np.log(alpha[size] + 1e-300)
+        pieces = {base64.b64decode(line.split()[0]).lower() for line in f}
+    return sorted({p for p in pieces if _PIECE.fullmatch(p)} | {bytes([b]) for b in range(256)})
+
+
+class Lattice:
+    """Where the pieces of a vocabulary occur in words."""
+
+    def __init__(self, vocabulary: list[bytes]):
+        # bytes as characters, as the automaton takes text; one beyond them parts the words
+        self.automaton = ahocorasick.Automaton()
+        for k, piece in enumerate(vocabulary):
+            self.automaton.add_word(piece.decode("latin-1"), k)
+        self.automaton.make_automaton()
+        self.length = np.array([len(p) for p in vocabulary])
+        self.longest = int(self.length.max())
+
+    def edges(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word, start, end and number of every piece in them, by end, then word."""
+        sizes = np.array([len(w) for w in words])
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        found = np.fromiter(chain.from_iterable(self.automaton.iter("\u0100".join(w.decode("latin-1") for w in words))), np.int64).reshape(-1, 2)
+        word = np.searchsorted(begin, found[:, 0], side="right") - 1
+        end = found[:, 0] - begin[word] + 1
+        order = np.lexsort((word, end))
+        word, end, piece = word[order], end[order], found[order, 1]
+        return word, end - self.length[piece], end, piece
+
+    def forward(self, words: list[bytes], p: np.ndarray) -> np.ndarray:
+        """Log-probability of each word under each column of ``p``, over all segmentations."""
+        out = np.zeros((len(words), p.shape[1]))
+        longest_first = sorted(range(len(words)), key=lambda k: -len(words[k]))
+        lifted = p * np.exp(LIFT * self.length)[:, None]
+        at = 0
+        while at < len(longest_first):
+            total, end = 0, at
+            while end < len(longest_first) and (end == at or total + len(words[longest_first[end]]) <= WORD_BYTES):
+                total += len(words[longest_first[end]])
+                end += 1
+            group = longest_first[at:end]
+            out[group] = self._forward([words[k] for k in group], lifted)
+            at = end
         return out
 
-    @staticmethod
-    def _alpha(size: int, m: int, edges: list, p: np.ndarray) -> np.ndarray:
-        alpha = np.zeros((size + 1, m, p.shape[1]))
-        alpha[0] = 1
-        for start, end, has, ids in edges:
-            alpha[end][has] += alpha[start][has] * p[ids]
-        return alpha
-
-    def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected occurrences of each piece, by forward and backward sums."""
+    def _forward(self, words: list[bytes], lifted: np.ndarray) -> np.ndarray:
+        sizes = np.array([len(w) for w in words])  # descending
+        ring = np.zeros((self.longest + 1, len(words), lifted.shape[1]))
+        ring[0] = 1
+        scale = np.zeros((len(words), lifted.shape[1]))
+        for first in range(0, int(sizes[0]), WORD_BYTES):  # once, but for a word longer than that
+            back = max(0, first - self.longest)
+            active = int(np.searchsorted(-sizes, -first, side="left"))
+            word, start, end, piece = self.edges([w[back : first + WORD_BYTES] for w in words[:active]])
+            start, end = start + back, end + back
+            lows = np.searchsorted(end, np.arange(first + 1, min(first + WORD_BYTES, int(sizes[0])) + 2))
+            for k, (low, high) in enumerate(pairwise(lows.tolist())):
+                at = first + 1 + k
+                part = ring[start[low:high] % len(ring), word[low:high]] * lifted[piece[low:high]]
+                active = int(word[high - 1]) + 1  # every byte is a piece, so each word has an end here
+                ring[at % len(ring), :active] = np.add.reduceat(part, np.searchsorted(word[low:high], np.arange(active)), axis=0)
+                if at % RESCALE == 0:
+                    most = ring[:, :active].max(axis=0)
+                    ring[:, :active] /= most
+                    scale[:active] += np.log(most)
+        last = ring[sizes % len(ring), np.arange(len(words))]
+        return np.log(last + 1e-300) + scale - LIFT * sizes[:, None]
+
+    def expected(self, words: list[bytes], p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Expected occurrences of each piece in short words, by forward and backward sums."""
         counts = np.zeros_like(p)
-        for size, members, edges in self.groups:
-            alpha = self._alpha(size, len(members), edges, p)
+        lifted = p * np.exp(LIFT * self.length)[:, None]
+        order = sorted(range(len(words)), key=lambda k: -len(words[k]))
+        per_group = max(1, WORD_BYTES // SAMPLE_PART)
+        for group in (order[k : k + per_group] for k in range(0, len(order), per_group)):
+            sizes = np.array([len(words[k]) for k in group])
+            word, start, end, piece = self.edges([words[k] for k in group])
+            alpha = np.zeros((int(sizes[0]) + 1, len(group), p.shape[1]))
             beta = np.zeros_like(alpha)
-            beta[size] = 1
-            for start, end, has, ids in reversed(edges):
-                beta[start][has] += beta[end][has] * p[ids]
-            share = weight[members] / (alpha[size] + 1e-300)
-            for start, end, has, ids in edges:
-                np.add.at(counts, ids, alpha[start][has] * p[ids] * beta[end][has] * share[has])
+            alpha[0], beta[sizes, np.arange(len(group))] = 1, 1
+            # every byte is a piece, so each word has an edge to each of its places and from each
+            for low, high in pairwise(np.searchsorted(end, np.arange(1, int(sizes[0]) + 2)).tolist()):
+                part = alpha[start[low:high], word[low:high]] * lifted[piece[low:high]]
+                active = int(word[high - 1]) + 1
+                alpha[end[low], :active] = np.add.reduceat(part, np.searchsorted(word[low:high], np.arange(active)), axis=0)
+            back = np.lexsort((word, -start))
+            word, start, end, piece = word[back], start[back], end[back], piece[back]
+            for low, high in pairwise(np.searchsorted(-start, np.arange(1 - int(sizes[0]), 2)).tolist()):
+                part = beta[end[low:high], word[low:high]] * lifted[piece[low:high]]
+                active = int(word[high - 1]) + 1
+                beta[start[low], :active] = np.add.reduceat(part, np.searchsorted(word[low:high], np.arange(active)), axis=0)
+            share = weight[group] / (alpha[sizes, np.arange(len(group))] + 1e-300)
+            times = alpha[start, word] * lifted[piece] * beta[end, word] * share[word]
+            for k in range(p.shape[1]):
+                counts[:, k] += np.bincount(piece, weights=times[:, k], minlength=len(counts))
         return counts
 
 
@@ -275,22 +329,30 @@ class Model:
     p: np.ndarray  #: piece by language
 
     def __post_init__(self):
-        self.number = {piece: k for k, piece in enumerate(self.vocabulary)}
+        self.lattice = Lattice(self.vocabulary)
         self.known: dict[str, np.ndarray] = {}
 
     def score(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word in each language; 0 for identifiers."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = [w for w in words if w not in self.known]
+        out = np.zeros((len(words), len(self.languages)))
+        new, texts = [], []
+        for k, word in enumerate(words):
+            score = self.known.get(word)
+            if score is not None:
+                out[k] = score
+                continue
+            text = spelled(word)
+            if text:
+                new.append(k)
+                texts.append(text)
         if new:
-            cut = [parts(w) for w in new]
-            flat = sorted({x for c in cut for x in c})
-            place = {x: k for k, x in enumerate(flat)}
-            logs = Segmentations(flat, self.number).forward(self.p)
-            for w, c in zip(new, cut):
-                self.known[w] = logs[[place[x] for x in c]].sum(axis=0) if c else np.zeros(len(self.languages))
-        return np.array([self.known[w] for w in words]).reshape(len(words), len(self.languages))
+            out[new] = self.lattice.forward(texts, self.p)
+            for k, text in zip(new, texts):
+                if len(text) <= REMEMBERED_BYTES:
+                    self.known[words[k]] = out[k].copy()
+        return out
 
     def paragraphs(self, found: Prose) -> np.ndarray:
         """Log-probability of each paragraph in each language."""
@@ -311,14 +373,12 @@ class Model:
 def fit(texts: list[str], labels: list[str], languages: tuple[str, ...] = LANGUAGES, path: str = VOCABULARY) -> Model:
     """Fit on labelled texts; labels may be wrong at times."""
     vocabulary = read_vocabulary(path)
-    number = {piece: k for k, piece in enumerate(vocabulary)}
     place = {c: k for k, c in enumerate(languages)}
     found = prose(pa.array(texts, pa.large_string()))
     label = np.array([place[c] for c in labels], np.int64)[found.record] if len(found.record) else np.zeros(0, np.int64)
-    cut = [parts(w) for w in found.words]
+    cut = [parts(spelled(w)) for w in found.words]
     flat = sorted({x for c in cut for x in c})
     spot = {x: k for k, x in enumerate(flat)}
-    lattice = Segmentations(flat, number)
     model = Model(tuple(languages), vocabulary, np.full((len(vocabulary), len(languages)), 1 / len(vocabulary)))
     for again in range(RELABEL_ROUNDS + 1):
         if again:
@@ -330,8 +390,9 @@ def fit(texts: list[str], labels: list[str], languages: tuple[str, ...] = LANGUA
             for x in cut[word]:
                 weight[spot[x], language] += n
         for _ in range(EM_ROUNDS):
-            counts = lattice.expected(model.p, weight) + SMOOTHING
-            model = Model(model.languages, vocabulary, counts / counts.sum(axis=0))
+            counts = model.lattice.expected(flat, model.p, weight) + SMOOTHING
+            model.p = counts / counts.sum(axis=0)
+        model.known.clear()
     return model
 
 
@@ -361,7 +422,7 @@ def segments_of(model: Model, found: Prose) -> list[np.ndarray]:
     count as their square root.
     """
     logs = model.paragraphs(found)
-    natural = np.array([bool(parts(w)) for w in found.words])
+    natural = np.array([not _IDENTIFIER.search(w) for w in found.words])
     words = np.bincount(found.paragraph, weights=natural[found.code], minlength=len(found.record)).astype(np.int64)
     use = np.flatnonzero(words > 0)
     if not len(use):

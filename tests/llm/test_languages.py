@@ -26,11 +26,33 @@ def test_forward_sums_all_segmentations():
         return sum((p[k] * total(word[len(x) :]) for x, k in number.items() if word.startswith(x)), np.zeros(2))
 
     words = ["".join(random.choice("ab") for _ in range(random.randint(1, 9))).encode() for _ in range(40)]
-    lattice = L.Segmentations(words, number)
-    assert np.allclose(np.exp(lattice.forward(p)), [total(w) for w in words])
+    lattice = L.Lattice(pieces)
+    assert np.allclose(np.exp(lattice.forward(words, p)), [total(w) for w in words])
     # each word is cut into pieces whose lengths add up to its own
-    expected = lattice.expected(p, np.ones((len(words), 2)))
+    expected = lattice.expected(words, p, np.ones((len(words), 2)))
     assert np.allclose((expected * np.array([[len(x)] for x in pieces])).sum(axis=0), sum(map(len, words)))
+    assert lattice.forward([], p).shape == (0, 2)
+
+
+def test_words_of_any_length_are_taken_whole(monkeypatch):
+    random.seed(2)
+    pieces = [b"a", b"b", b"ab", b"ba", b"aab", b"bbabaab"]
+    p = np.random.default_rng(2).random((len(pieces), 2)) * 1e-6
+    words = ["".join(random.choice("ab") for _ in range(n)).encode() for n in (3, 700, 3000, 1)]
+
+    def log_total(word):
+        """Plain sums, scaled at each byte."""
+        sums, log = [np.ones(2)], np.zeros(2)
+        for end in range(1, len(word) + 1):
+            new = sum((p[k] * sums[end - len(x)] for k, x in enumerate(pieces) if end >= len(x) and word[end - len(x) : end] == x), np.zeros(2))
+            sums = [s / new for s in sums] + [np.ones(2)]
+            log += np.log(new)
+            sums[: max(0, len(sums) - 8)] = [np.zeros(2)] * max(0, len(sums) - 8)
+        return log
+
+    for size in (L.WORD_BYTES, 512):  # a word is looked up in several stretches, too
+        monkeypatch.setattr(L, "WORD_BYTES", size)
+        assert np.allclose(L.Lattice(pieces).forward(words, p), [log_total(w) for w in words])
 
 
 def texts_of(prose):
@@ -65,10 +87,11 @@ def test_prose():
     ]
 
 
-def test_parts():
-    assert L.parts("snake_case") == L.parts("CamelCase") == L.parts("v2") == []
-    assert L.parts("ÉTÉ") == [" été".encode()] and L.parts("e\u0301") == L.parts("é")
-    assert b"".join(L.parts("空" * 30)).decode() == " " + "空" * 30 and all(len(x) <= L.MAX_PART for x in L.parts("空" * 30))
+def test_spelled_words():
+    assert L.spelled("snake_case") == L.spelled("CamelCase") == L.spelled("v2") == b""
+    assert L.spelled("ÉTÉ") == " été".encode() and L.spelled("e\u0301") == L.spelled("é")
+    long = L.spelled("空" * 30)
+    assert b"".join(L.parts(long)) == long and all(len(x) <= L.SAMPLE_PART and x.decode() for x in L.parts(long)) and L.parts(b"") == []
 
 
 @pytest.mark.parametrize(("label", "code"), [("en", "en"), (" ENG ", "en"), ("pt-BR", "pt"), ("zh_CN", "zh"), ("German", "de"), ("ko", None), ("und", None), ("", None), (None, None), ("english ", "en"), ("xen", None)])
