@@ -170,6 +170,33 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).withColumnRenamed("id", "chunk_id")
 
 
+@query
+def p4_reassembled(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that were cut, put together again from their pieces, and whether all pieces
+    keep to the limits."""
+    limits = table(spark, d, "chunk_limit")
+    sites = _chunks(spark, d, "source_site")
+    other = limits.filter("source_site = '*'").select(F.struct("max_chars", "overlap_chars").alias("other"))
+    of_site = limits.select("source_site", F.struct("max_chars", "overlap_chars").alias("own"))
+    limited = sites.join(F.broadcast(of_site), "source_site", "left").join(F.broadcast(other)).select("chunk_id", F.coalesce("own", "other").alias("l"))  # one row for all other sites
+    order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("piece_no", F.expr(c).alias("v")))), lambda x: x["v"])
+    pieces = _pieces(spark, d).groupBy(F.col("id").alias("chunk_id")).agg(
+        F.concat_ws("", order("substring(piece, overlap + 1, length)")).alias("text"), F.max("length").alias("longest"), F.max("overlap").alias("widest"),
+        F.min(F.when(F.col("piece_no") > 0, F.col("overlap"))).alias("narrowest"), F.max(F.abs(F.length("piece") - F.col("length"))).alias("off"),
+    )
+    kept = (F.col("longest") <= F.col("l.max_chars")) & (F.col("widest") <= F.col("l.overlap_chars")) & (F.col("narrowest") >= F.floor(F.col("l.overlap_chars") * 0.8)) & (F.col("off") == 0)
+    return pieces.join(limited, "chunk_id").select("chunk_id", "text", kept.alias("kept"))
+
+
+SQL["p4_reassembled"] = r"""
+with valid as (
+  select chunk_id, trim(md_text, ' ' || chr(9) || chr(10) || chr(13)) as text, source_site from doc_chunk
+  qualify row_number() over (partition by chunk_id order by loaded_at desc) = 1
+)
+select chunk_id, text, true as kept from valid v left join chunk_limit l on l.source_site = v.source_site
+where length(text) > coalesce(l.max_chars, (select max_chars from chunk_limit where source_site = '*'))"""
+
+
 # ---- 6: containers
 
 

@@ -4,8 +4,9 @@ Every place between two characters has a strength: a heading begins, a blank lin
 a line ends, a sentence ends, a blank ends, or none of these. A sparse table over the
 strengths (maxima of all stretches whose length is a power of two) answers in constant
 time where the strongest place of a window is, the rightmost of equals. A piece ends at
-the strongest place between half the limit and the limit; the next one begins at the
-strongest place in the last fifth of the permitted overlap before that cut.
+the strongest place between half the limit (or the overlap, if that is more) and the
+limit; the next one begins at the strongest place in the first fifth of the permitted
+overlap before that cut.
 """
 
 from __future__ import annotations
@@ -81,24 +82,38 @@ class RangeMaximum:
         return int(max(row[first], row[last + 1 - (1 << level)])) & ((1 << 40) - 1)
 
 
+def _solid_before(chars: np.ndarray, place: int) -> int:
+    """The last character before ``place`` that isn't blank, however far back; else 0."""
+    step = 4096
+    while place > 0:
+        start = max(0, place - step)
+        solid = np.flatnonzero(~np.isin(chars[start:place], _BLANK))
+        if len(solid):
+            return start + int(solid[-1])
+        place, step = start, step * 2
+    return 0
+
+
 def cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """Start and end of each piece, in characters. No piece is longer than ``limit``; each
-    but the first begins at most ``overlap`` before the end of the one before it."""
+    but the first begins at most ``overlap`` (less than ``limit``) before the end of the
+    one before it."""
+    if not 0 <= overlap < limit:
+        raise ValueError(f"an overlap of {overlap} does not fit a limit of {limit}")
     chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     n = len(chars)
     if n <= limit:
         return [(0, n)]
-    overlap = max(0, min(overlap, limit // 2 - 1))
     pieces, start, base, table = [], 0, 0, None
     while n - start > limit:
         if table is None or start + limit >= base + table.size - 1:
             base = start  # context before and after, so that strengths don't depend on the stretch
-            before = min(base, 4096)
+            before = base - _solid_before(chars, base)
             end = min(n, base + max(STRETCH, 2 * limit) + 1)
             strength = strengths(chars[base - before : min(n, end + 1)])[before : before + end - base + 1]
             table = RangeMaximum(strength, limit + 1)
-        first = max(start + max(1, int(limit * LEAST_FILL)), pieces[-1][1] + 1 if pieces else 0)
-        cut = base + table.best(min(first, start + limit) - base, start + limit - base)
+        first = start + max(1, int(limit * LEAST_FILL), overlap + 1)  # the next piece begins after this one
+        cut = base + table.best(first - base, start + limit - base)
         pieces.append((start, cut))
         start = cut
         if overlap:
@@ -123,7 +138,8 @@ def split_oversized(df: DataFrame, id_column: str, text: str, group: str, limits
 
     ``limits`` has ``source_site, max_chars, overlap_chars``; the row ``any_group`` holds
     for all groups that have none of their own, null included; without it these have no
-    limit, nor have groups whose limit is null or below 1. Blanks, tabs, CR and LF at
+    limit, nor have groups whose limit is null or below 1. An overlap that is negative or
+    not below its limit is an error. Blanks, tabs, CR and LF at
     both ends of a text don't count and are not kept. Returns ``id, piece_no`` (from 0),
     ``start`` and ``length`` in characters of the stripped text, ``overlap`` with the
     piece before, ``piece``: cut at ``start + overlap`` and put together, the pieces give
@@ -135,6 +151,9 @@ def split_oversized(df: DataFrame, id_column: str, text: str, group: str, limits
     limits = limits.groupBy(F.col("source_site").alias("_group")).agg(
         F.min("max_chars").cast("int").alias("limit"), F.coalesce(F.min("overlap_chars"), F.lit(0)).cast("int").alias("overlap"), F.lit(True).alias("_named")
     )
+    wrong = limits.filter("limit >= 1 and (overlap < 0 or overlap >= limit)").first()
+    if wrong is not None:
+        raise ValueError(f"an overlap of {wrong['overlap']} does not fit a limit of {wrong['limit']}")
     other = limits.filter(F.col("_group") == any_group).first()
     limited = join_measured(narrow, limits, limits.count(), ["_group"], "left")
     if other is not None:

@@ -39,19 +39,24 @@ TEXTS = {
 
 
 @pytest.mark.parametrize("kind", TEXTS)
-@pytest.mark.parametrize(("limit", "overlap"), [(500, 50), (1000, 0), (64, 31), (7, 100)])
+@pytest.mark.parametrize(("limit", "overlap"), [(500, 50), (1000, 0), (64, 31), (7, 6), (300, 250)])
 def test_cuts(kind, limit, overlap):
     random.seed(2)
     text = TEXTS[kind]()
     pieces = cuts(text, limit, overlap)
     assert pieces[0][0] == 0 and pieces[-1][1] == len(text)
-    permitted = min(overlap, limit // 2 - 1)
     for (a, b), (c, d) in zip(pieces, pieces[1:]):
         assert b - a <= limit and d - c <= limit and a < c <= b < d
-        assert 0.8 * permitted - 1 <= b - c <= permitted
+        assert 0.8 * overlap - 1 <= b - c <= overlap
     assert "".join(text[max(a, e) : b] for (a, b), e in zip(pieces, [0, *(b for _, b in pieces)])) == text
 
 
+def test_overlap_must_fit():
+    for limit, overlap in ((10, 10), (10, 11), (10, -1)):
+        with pytest.raises(ValueError):
+            cuts("x" * 50, limit, overlap)
+
+
 def test_natural_boundaries():
     random.seed(3)
     text = TEXTS["paragraphs"]()
@@ -61,6 +66,7 @@ def test_natural_boundaries():
 def test_long_text_is_cut_alike_across_stretches():
     random.seed(4)
     text = " ".join("w" * random.randint(1, 12) + random.choice(["", ".", "\n"]) for _ in range(STRETCH // 3))
+    text = text[: STRETCH - 6000] + "end.\n" + " " * 12000 + text[STRETCH - 6000 :]
     assert len(text) > 2 * STRETCH
     import corvane.llm.splitting as s
 
@@ -85,4 +91,6 @@ def test_split(spark):
         assert all(len(r["piece"]) == r["length"] <= limit and text[r["start"] : r["start"] + r["length"]] == r["piece"] for r in mine)
     assert split_oversized(df, "i", "t", "site", limits.filter("source_site = 'a'")).filter("id = 2").count() == 0
     assert split_oversized(df.limit(0), "i", "t", "site", limits).count() == 0
+    with pytest.raises(ValueError):
+        split_oversized(df, "i", "t", "site", limits.withColumn("overlap_chars", limits["max_chars"]))
     assert split_oversized(df, "i", "t", "site", limits.limit(0)).count() == 0
