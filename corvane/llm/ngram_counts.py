@@ -2,11 +2,12 @@
 
 Each task builds the suffix array of the block of records it is given: all token
 positions, sorted by all the tokens that follow them within the record (ranks of
-prefixes of doubled length). Neighbours share a prefix, whose length the ranks give; a maximal stretch of neighbours that share at least n tokens is the interval
-of one n-gram, and its length is the n-gram's number of occurrences. Two suffixes of
-one record in the same interval would count the record twice, so each suffix is linked
-to the one before it that belongs to the same record, and a link inside the interval
-takes one off: what is left is the number of records.
+prefixes of doubled length). Neighbours share a prefix, whose length the ranks give; a
+maximal stretch of neighbours that share at least n tokens is the interval of one n-gram,
+and its length is the n-gram's number of occurrences. Two suffixes of one record in the
+same interval would count the record twice, so each suffix is linked to the one before it
+that belongs to the same record, and a link inside the interval takes one off: what is
+left is the number of records. Blocks are cut by the size of their texts.
 
 A record lies wholly in one block, so both numbers add up over blocks. Only the sums
 per block are shuffled, so a term that a third of all records hold costs one row a
@@ -23,7 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.tokens import Tokens, tokenize
+from corvane.llm.tokens import TEXT_BYTES, Tokens, text_slices, tokenize
+from corvane.sources.shared import materialize
 
 SCHEMA = "term string, n int, occurrences bigint, records bigint"
 
@@ -82,9 +84,11 @@ def suffix_intervals(tokens: Tokens, max_n: int) -> Iterator[tuple[int, np.ndarr
         yield n, suffixes[starts][whole], occurrences[whole], (occurrences - repeats)[whole]
 
 
-def _count_blocks(max_n: int):
+def _count_blocks(max_n: int, block_bytes: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        rows = 0
+        for batch in text_slices(batches, 0, block_bytes):
+            rows += batch.num_rows
             tokens = tokenize(batch.column(0))
             for n, at, occurrences, records in suffix_intervals(tokens, max_n):
                 words = [tokens.dictionary.take(pa.array(tokens.code[at + k])) for k in range(n)]
@@ -93,12 +97,16 @@ def _count_blocks(max_n: int):
                     [term.cast(pa.string()), pa.array(np.full(len(at), n, np.int32)), pa.array(occurrences), pa.array(records)],
                     names=["term", "n", "occurrences", "records"],
                 )
+        yield pa.record_batch(
+            [pa.nulls(1, pa.string()), pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([rows], pa.int64())], names=["term", "n", "occurrences", "records"]
+        )
 
     return count
 
 
-def ngram_counts(df: DataFrame, text: str, max_n: int = 1) -> DataFrame:
+def ngram_counts(df: DataFrame, text: str, max_n: int = 1, block_bytes: int = TEXT_BYTES) -> DataFrame:
     """Every n-gram of 1 to ``max_n`` tokens of column ``text`` with its occurrences and records.
+    A task sorts the suffixes of about ``block_bytes`` of text at once.
 
     Every row of ``df`` is one record. Null and empty texts, and texts shorter than n
     tokens, hold no n-gram. Repeated rows are records of their own. Texts of any length
@@ -106,10 +114,23 @@ def ngram_counts(df: DataFrame, text: str, max_n: int = 1) -> DataFrame:
     """
     if max_n < 1:
         raise ValueError("max_n must be at least 1")
-    blocks = df.select(F.lower(F.col(text)).alias("text")).mapInArrow(_count_blocks(max_n), SCHEMA)
+    return _summed(df, text, max_n, block_bytes).filter("n > 0")
+
+
+def _summed(df: DataFrame, text: str, max_n: int, block_bytes: int = TEXT_BYTES) -> DataFrame:
+    """With one row more, of n = 0, whose ``records`` is the number of all records."""
+    blocks = df.select(F.lower(F.col(text)).alias("text")).mapInArrow(_count_blocks(max_n, block_bytes), SCHEMA)
     return blocks.groupBy("term", "n").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
+def marked_terms(df: DataFrame, text: str, rare_below: int = 3, common_above: float = 0.2) -> DataFrame:
+    """``term, n, occurrences, records, mark`` of all terms. The counts are written once; the
+    number of records, those without text included, comes out of the same pass."""
+    counts = materialize(_summed(df, text, 1), "term-counts")
+    n_records = counts.filter("n = 0").agg(F.sum("records")).first()[0] or 0
+    return mark_terms(counts.filter("n > 0"), n_records, rare_below, common_above)
+
+
 def mark_terms(counts: DataFrame, n_records: int, rare_below: int = 3, common_above: float = 0.2) -> DataFrame:
     """Add ``mark``: `rare` (in fewer than ``rare_below`` records), `common` (in more than
     the share ``common_above`` of ``n_records``) or null. What is both counts as rare."""

@@ -11,7 +11,7 @@ from corvane.llm.documented_code import documented_functions
 from corvane.llm.languages import fit_on, label_code, language_segments
 from corvane.llm.mixing import Mix, source_name
 from corvane.llm.near_duplicates import NearDuplicates
-from corvane.llm.ngram_counts import mark_terms, ngram_counts
+from corvane.llm.ngram_counts import marked_terms, ngram_counts
 from corvane.llm.packing import fill_report, pack
 from corvane.llm.splitting import split_oversized
 from corvane.llm.tokens import unicode_words
@@ -35,10 +35,6 @@ def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return latest_wide_rows(chunks, "chunk_id").drop("loaded_at")
 
 
-def _n_chunks(spark: SparkSession, d: str) -> int:
-    return table(spark, d, "doc_chunk").select("chunk_id").distinct().filter("chunk_id is not null").count()
-
-
 _VALID_SQL = """
 with valid as (
   select chunk_id, md_text, source_site from doc_chunk
@@ -53,8 +49,7 @@ with valid as (
 
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    counts = ngram_counts(_chunks(spark, d, "md_text"), "md_text")
-    return mark_terms(counts, _n_chunks(spark, d)).filter("mark is not null").select("term", "mark")
+    return marked_terms(_chunks(spark, d, "md_text"), "md_text").filter("mark is not null").select("term", "mark")
 
 
 SQL["p1_found"] = _VALID_SQL + """
@@ -64,8 +59,7 @@ group by term having count(distinct chunk_id) < 3 or count(distinct chunk_id) >
 
 @query
 def p1_term_counts(spark: SparkSession, d: str) -> DataFrame:
-    counts = ngram_counts(_chunks(spark, d, "md_text"), "md_text")
-    return mark_terms(counts, _n_chunks(spark, d)).select("term", "occurrences", "records", "mark")
+    return marked_terms(_chunks(spark, d, "md_text"), "md_text").select("term", "occurrences", "records", "mark")
 
 
 SQL["p1_term_counts"] = _VALID_SQL + """

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from corvane.functions.spans import runs, utf8_bytes
 
 #: A token is a longest run of these bytes in lower-cased text, of at least ``MIN_LENGTH``.
 TOKEN_BYTES = b"abcdefghijklmnopqrstuvwxyz0123456789_#-"
 MIN_LENGTH = 2
+#: Bytes of text whose tokens a task holds at once, about; a longer text is held whole.
+TEXT_BYTES = 1 << 22
 
 _IS_TOKEN = np.zeros(256, bool)
 _IS_TOKEN[np.frombuffer(TOKEN_BYTES, np.uint8)] = True
@@ -33,6 +38,16 @@ class Tokens:
     n_records: int
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches with about ``limit`` bytes of text in a column; a longer text stands alone."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size, dtype=np.int64) // limit
+        edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for start, end in pairwise(edges):
+            yield batch.slice(start, end - start)
+
+
 def tokenize(lowered: pa.Array) -> Tokens:
     """Tokens of texts that are lower-cased already (Spark's ``lower`` does that)."""
     data, offsets = utf8_bytes(lowered)

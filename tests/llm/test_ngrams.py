@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm.ngram_counts import mark_terms, ngram_counts
+from corvane.llm.ngram_counts import mark_terms, marked_terms, ngram_counts
 
 
 def tokens(text):
@@ -50,3 +50,17 @@ def test_empty_and_marks(spark):
     counts = spark.createDataFrame([("a", 2), ("b", 3), ("c", 21), ("d", 20)], "term string, records long")
     assert {r["term"]: r["mark"] for r in mark_terms(counts, 100).collect()} == {"a": "rare", "b": None, "c": "common", "d": None}
     assert mark_terms(counts, 5).filter(F.col("term") == "a").first()["mark"] == "rare"
+
+
+def test_marked_terms_count_all_records(spark):
+    texts = ["aa bb"] * 3 + ["aa"] * 3 + [None, "", "cc", "cc dd aa"]
+    df = spark.createDataFrame([(t, 1) for t in texts], "t string, records int")
+    got = {r["term"]: (r["occurrences"], r["records"], r["mark"]) for r in marked_terms(df, "t", common_above=0.5).collect()}
+    assert got == {"aa": (7, 7, "common"), "bb": (3, 3, None), "cc": (2, 2, "rare"), "dd": (1, 1, "rare")}
+    assert marked_terms(df.limit(0), "t").count() == 0
+
+
+def test_blocks_are_cut_by_size(spark):
+    df = spark.createDataFrame([(w * k,) for k, w in enumerate(["one two ", "two three ", "two "], 1)] * 20, "t string").coalesce(1)
+    whole = sorted(map(tuple, ngram_counts(df, "t", 3).collect()))
+    assert sorted(map(tuple, ngram_counts(df, "t", 3, block_bytes=16).collect())) == whole
