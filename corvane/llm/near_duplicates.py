@@ -16,43 +16,50 @@ columns and never in full:
 * The overlap of the pairs that are left is counted over all columns.
 
 All bounds are exact: no pair above the threshold is lost. Records with equal sets are
-one class and take part once. Columns that very many records share are cut into
-sub-blocks, and the pairs of sub-blocks are spread over tasks.
+one class and take part once. Columns that surely no other record has are not sent. Of
+columns that very many records may share the entries are counted one by one; those that
+prove hot are cut into sub-blocks, and the pairs of sub-blocks are spread over tasks.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.tokens import Tokens, tokenize
-from corvane.operators.checked import join_measured, measured
+from corvane.llm.tokens import TEXT_BYTES, Tokens, text_slices, tokenize
+from corvane.operators.checked import join_measured, join_weighted, measured
 from corvane.sources.shared import materialize
 
 GRAM_BITS = 40
 GRAM_BYTES = GRAM_BITS // 8
 SKETCH_BITS = 256
-#: Columns are counted in so many hashed counters, of fixed size whatever the input.
-COUNTERS_LOG2 = 22
+#: Columns are counted in hashed counters, one for so many entries of the matrix, of which
+#: there are at least and at most 2 to the power of these; a counter takes one byte.
+ENTRIES_PER_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 8, 16, 24
 COUNTER_BLOCK = 1 << 16
-#: Bytes of text whose tokens a task holds at once, about; a longer text is held whole.
-TEXT_BYTES = 1 << 21
 #: Entries of the matrix that one task multiplies, about.
 ENTRIES_PER_BLOCK = 4_000_000
+#: Entries for which a block of its own is worth while, if there are cores for it.
+LEAST_ENTRIES = 1_000_000
 #: Entries that a task holds before it hands them on, about.
 ENTRIES_HELD = 4_000_000
 #: Candidates that a task holds before it hands them on.
 PAIRS_HELD = 2_000_000
 #: A column with more records than this is cut into sub-blocks.
 SUB_BLOCK = 4096
+#: Hot columns whose exact counts are broadcast, at most (16 bytes each); if there are
+#: more, all are cut by their counters, which are never too low.
+HOT_COLUMNS = 1_000_000
+#: Copies of one set beyond which its records are joined by a broadcast of their own.
+HOT_CLASS = 100_000
 
 _EPS = 1e-9
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -96,16 +103,6 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1 << 14) -> Iterator[
             yield batch.slice(start, rows)
 
 
-def _text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches with so much text in their second column that a task's memory stays small."""
-    for batch in _slices(batches):
-        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(size, dtype=np.int64) // TEXT_BYTES
-        edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
-        for start, end in pairwise(edges):
-            yield batch.slice(start, end - start)
-
-
 def _whole_texts(h: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """One hash for all ``n`` tokens (a few) of each text."""
     whole = n.astype(np.uint64)
@@ -139,8 +136,10 @@ def gram_sets(lowered: pa.Array, size: int, min_tokens: int, tokens_of: Callable
 
 
 def _to_gram_rows(size: int, min_tokens: int, tokens_of: Callable[[pa.Array], Tokens], short_whole: bool):
+    limit = TEXT_BYTES
+
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _text_slices(batches):
+        for batch in text_slices(batches, 1, limit):
             record, grams = gram_sets(batch.column(1), size, min_tokens, tokens_of, short_whole)
             n = np.bincount(record, minlength=batch.num_rows)
             has = np.flatnonzero(n)
@@ -175,107 +174,153 @@ def gram_table(
     return source.filter("id is not null and text is not null").mapInArrow(_to_gram_rows(size, min_tokens, tokens_of, short_whole), GRAM_SCHEMA)
 
 
-def column_counts(grams: DataFrame) -> np.ndarray:
+def counters_for(entries: int) -> int:
+    """The logarithm of the number of counters for a matrix of so many entries."""
+    return min(MOST_COUNTERS, max(LEAST_COUNTERS, math.ceil(math.log2(max(1, entries) / ENTRIES_PER_COUNTER))))
+
+
+def column_counts(grams: DataFrame, log2: int) -> np.ndarray:
     """How many records hold an n-gram, by hashed counter, on a logarithmic scale of one byte.
 
-    Counts cover all records. Each task sums its own; 64 blocks of counters are then
-    added up, and the result is 4 MB whatever the input.
+    Counts cover all records. Each task sums its own, one byte a counter and a list of
+    the larger ones; blocks of counters are then added up. The result is 16 MB at most.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNTERS_LOG2, np.int64)
+        total = np.zeros(1 << log2, np.uint32)
         for batch in batches:
-            flat, _ = _flat(batch.column(0))
-            at = unpack(flat) >> np.uint64(GRAM_BITS - COUNTERS_LOG2)
-            total += np.bincount(at.astype(np.int64), minlength=len(total))
-        blocks = np.minimum(total, 2**32 - 1).astype(np.uint32).reshape(-1, COUNTER_BLOCK)
-        used = np.flatnonzero(blocks.any(axis=1))
-        yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array([blocks[b].tobytes() for b in used], pa.binary())], names=["block", "counts"])
+            at = np.sort(unpack(_flat(batch.column(0))[0]) >> np.uint64(GRAM_BITS - log2))
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+            where = at[first].astype(np.int64)
+            more = np.diff(np.append(first, len(at))).astype(np.uint64)
+            total[where] = np.minimum(total[where] + more, 2**32 - 1).astype(np.uint32)
+        blocks = total.reshape(-1, COUNTER_BLOCK)
+        for b in np.flatnonzero(blocks.any(axis=1)):
+            large = np.flatnonzero(blocks[b] > 255)
+            yield pa.record_batch(
+                [pa.array([b], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (np.minimum(blocks[b], 255).astype(np.uint8), large.astype(np.uint16), blocks[b][large] - 255))],
+                names=["block", "counts", "large", "beyond"],
+            )
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTER_BLOCK, np.int64)
         for batch in batches:
-            for counts in batch.column("counts"):
-                total += np.frombuffer(counts.as_buffer(), np.uint32)
+            for counts, large, beyond in zip(batch.column("counts"), batch.column("large"), batch.column("beyond")):
+                total += np.frombuffer(counts.as_buffer(), np.uint8)
+                total[np.frombuffer(large.as_buffer(), np.uint16)] += np.frombuffer(beyond.as_buffer(), np.uint32)
         level = np.minimum(np.rint(np.log2(total + 1.0) * 8), 255).astype(np.uint8)
         yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "counts"])
 
-    summed = grams.select("grams").mapInArrow(partial, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary")
-    levels = np.zeros(1 << COUNTERS_LOG2, np.uint8)
-    for row in summed.collect():  # 64 rows of 64 KB
+    summed = grams.select("grams").mapInArrow(partial, "block int, counts binary, large binary, beyond binary").groupBy("block").applyInArrow(add, "block int, counts binary")
+    levels = np.zeros(1 << log2, np.uint8)
+    for row in summed.collect():  # 256 rows of 64 KB at most
         levels[row["block"] * COUNTER_BLOCK : (row["block"] + 1) * COUNTER_BLOCK] = np.frombuffer(row["counts"], np.uint8)
     return levels
 
 
+@dataclass
+class Columns:
+    """What every task knows of the columns: their counters' levels, and the hot ones."""
+
+    levels: np.ndarray
+    sub_block: int
+    hot: np.ndarray | None = None  #: mixed numbers of the hot columns, ascending; None: go by the levels
+    shares: np.ndarray | None = None  #: in how many pairs of sub-blocks an entry of each takes part
+
+    def level(self, grams: np.ndarray) -> np.ndarray:
+        log2 = len(self.levels).bit_length() - 1
+        return self.levels[(grams >> np.uint64(GRAM_BITS - log2)).astype(np.int64)]
+
+    def share(self, column: np.ndarray, level: np.ndarray) -> np.ndarray:
+        if self.hot is None:
+            return sub_blocks(np.exp2(level / 8.0) * 1.1 - 1, self.sub_block)
+        out = np.ones(len(column), np.int64)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, column), len(self.hot) - 1)
+            is_hot = self.hot[at] == column
+            out[is_hot] = self.shares[at[is_hot]]
+        return out
+
+
+def sub_blocks(records: np.ndarray, size: int) -> np.ndarray:
+    """Into how many sub-blocks a column of so many records is cut. Each meets each other one,
+    so an entry is sent as many times."""
+    return np.maximum(np.ceil(records / size), 1).astype(np.int64)
+
+
 def need(n_large, n_small, threshold: float):
     """The least overlap of two sets of these sizes whose similarity reaches the threshold."""
     return np.ceil(threshold / (1 + threshold) * (n_large + n_small) - _EPS).astype(np.int64)
 
 
-def _share(level: np.ndarray) -> np.ndarray:
-    """In how many pairs of sub-blocks an entry of a column takes part: columns that many
-    records share are cut, and each sub-block of records meets each other one."""
-    return np.maximum(np.ceil((np.exp2(level / 8.0) * 1.1 - 1) / SUB_BLOCK), 1).astype(np.int64)
-
-
 def _n_first(n: np.ndarray, threshold: float) -> np.ndarray:
     """How many of a record's columns are sent to the blocks."""
     return n - np.ceil(threshold * n - _EPS).astype(np.int64) + 1
 
 
-def _sent(levels, threshold: float):
-    """How many entries ``_entries`` will send, a row for each batch."""
+#: Levels up to this one are counts of 1: no other record has the column.
+ALONE = 8
+
+
+@dataclass
+class Prefix:
+    """Of a batch of records the entries of their first columns, record by record."""
+
+    column: np.ndarray  #: 40 bits, mixed
+    level: np.ndarray
+    part: np.ndarray  #: place among the record's columns, in 256ths, rounded down
+    owner: np.ndarray  #: number of the record in the batch
+
+
+def prefix(columns: Columns, threshold: float, n: np.ndarray, grams: np.ndarray) -> Prefix:
+    record = np.repeat(np.arange(len(n)), n)
+    level = columns.level(grams)
+    # record, level, 40 bits of the mixed column: any fixed order within a level will do
+    column = _mix(grams * _M1) >> np.uint64(24)
+    order = np.lexsort((column, level, record))
+    column, level = column[order], level[order]
+    place = np.arange(len(record)) - np.repeat(np.cumsum(n) - n, n)
+    size = n[record]
+    first = (place < _n_first(size, threshold)) & (level > ALONE)
+    return Prefix(column[first], level[first], np.minimum(place[first] * 256 // size[first], 255).astype(np.uint8), record[first])
+
+
+def _suspects(shared, threshold: float):
+    """Entries of the first columns by column, where the counter says that it may be hot, and
+    in a row without a column the number of all."""
+    least = math.floor(8 * math.log2(SUB_BLOCK + 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        share_of = _share(np.arange(256))
         for batch in _slices(batches):
-            n = batch.column(0).to_numpy().astype(np.int64)
-            first, starts = _n_first(n, threshold), np.cumsum(n) - n
-            share = share_of[levels.value[(unpack(_flat(batch.column(1))[0]) >> np.uint64(GRAM_BITS - COUNTERS_LOG2)).astype(np.int64)]]
-            cut = np.maximum.reduceat(share, starts) > 1
-            sent = int(first[~cut].sum())
-            # the share grows with the level, by which a record's columns are in order
-            inside, record = np.repeat(cut, n), np.repeat(np.arange(len(n)), n)
-            share, record = share[inside], record[inside]
-            share = share[np.lexsort((share, record))]
-            place = np.arange(len(share)) - np.repeat(np.cumsum(n[cut]) - n[cut], n[cut])
-            sent += int(share[place < first[record]].sum())
-            yield pa.record_batch([pa.array([sent])], names=["sent"])
+            found = prefix(shared.value, threshold, batch.column(0).to_numpy().astype(np.int64), unpack(_flat(batch.column(1))[0]))
+            column, times = np.unique(found.column[found.level >= least], return_counts=True)
+            yield pa.record_batch([pa.array([None, *column.tolist()], pa.int64()), pa.array([len(found.column), *times.tolist()], pa.int64())], names=["column", "entries"])
 
     return count
 
 
-def _entries(levels, threshold: float, blocks: int):
+def _entries(shared, threshold: float, blocks: int):
     """Send the first columns of each record to the blocks that multiply them.
 
     A row holds what one batch of records has in one block: per record its id, size and
     sketch, per entry the column, the record's place in the row and the entry's place
     among the record's columns, in 256ths, rounded down.
     """
+    most = ENTRIES_HELD
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level_of = levels.value
+        columns = shared.value
         for batch in _slices(batches):
             ids = batch.column(0).to_numpy()
             n = batch.column(1).to_numpy().astype(np.int64)
             sketches = _flat(batch.column(2))[0].reshape(len(ids), -1)
-            grams = unpack(_flat(batch.column(3))[0])
-            record = np.repeat(np.arange(len(ids)), n)
-            level = level_of[(grams >> np.uint64(GRAM_BITS - COUNTERS_LOG2)).astype(np.int64)]
-            # record, level, 40 bits of the mixed column: any fixed order within a level will do
-            column = _mix(grams * _M1) >> np.uint64(24)
-            order = np.lexsort((column, level, record))
-            column, level = column[order], level[order]
-            place = np.arange(len(record)) - np.repeat(np.cumsum(n) - n, n)
-            size = n[record]
-            first = place < _n_first(size, threshold)
-            column, level, place, owner, size = column[first], level[first], place[first], record[first], size[first]
-            part, share = np.minimum(place * 256 // size, 255).astype(np.uint8), _share(level)
+            found = prefix(columns, threshold, n, unpack(_flat(batch.column(3))[0]))
+            share = columns.share(found.column, found.level)
             # entries of cut columns are many times as many when sent; a record's stay together
-            held = (np.cumsum(np.bincount(owner, share, len(ids))) // ENTRIES_HELD)[owner]
+            held = (np.cumsum(np.bincount(found.owner, share, len(ids))) // most)[found.owner]
             edges = [0, *(np.flatnonzero(held[1:] != held[:-1]) + 1).tolist(), len(held)]
             for start, end in pairwise(edges):
-                yield from emit(ids, n, sketches, *(x[start:end] for x in (column, part, owner, share)))
+                yield from emit(ids, n, sketches, *(x[start:end] for x in (found.column, found.part, found.owner, share)))
 
     def emit(ids, n, sketches, column, part, owner, share) -> Iterator[pa.RecordBatch]:
         cut = np.flatnonzero(share > 1)
@@ -291,14 +336,12 @@ def _entries(levels, threshold: float, blocks: int):
         block = (column % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(block * len(ids) + owner, kind="stable")
         block, owner, column, part = block[order], owner[order], (column[order] // np.uint64(blocks)).astype(np.uint32), part[order]
-        edges = np.searchsorted(block, np.arange(blocks + 1))
+        edges = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block)) if len(block) else [0]
         rows = []
-        for b in range(blocks):
-            s = slice(edges[b], edges[b + 1])
-            if s.start == s.stop:
-                continue
+        for start, end in pairwise(edges):
+            s = slice(start, end)
             who, local = np.unique(owner[s], return_inverse=True)
-            rows.append((b, ids[who].tobytes(), n[who].astype(np.int32).tobytes(), sketches[who].tobytes(), column[s].tobytes(), local.astype(np.uint16).tobytes(), part[s].tobytes()))
+            rows.append((block[start], ids[who].tobytes(), n[who].astype(np.int32).tobytes(), sketches[who].tobytes(), column[s].tobytes(), local.astype(np.uint16).tobytes(), part[s].tobytes()))
         if rows:
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 7)]], names=["block", "ids", "sizes", "sketches", "columns", "owners", "parts"])
 
@@ -320,8 +363,9 @@ def _as_batches(pairs: list[np.ndarray], ids: np.ndarray) -> Iterator[pa.RecordB
 
 def _multiply(threshold: float):
     """Candidates of one block: pairs that the bounds don't rule out, as a rule each once."""
+    most = PAIRS_HELD
 
-    def product(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[list[np.ndarray]] = [[] for _ in range(6)]
         seen = 0
         for batch in batches:
@@ -332,6 +376,8 @@ def _multiply(threshold: float):
                 for k, x in enumerate((ids, np.frombuffer(row[1].as_buffer(), np.int32), np.frombuffer(row[2].as_buffer(), np.uint64).reshape(len(ids), -1), columns, owners.astype(np.int64) + seen, np.frombuffer(row[5].as_buffer(), np.uint8))):
                     got[k].append(x)
                 seen += len(ids)
+        if not seen:
+            return
         ids, sizes, sketches, columns, owners, parts = (np.concatenate(x) for x in got)
         sizes = sizes.astype(np.int64)
         order = np.argsort((columns.astype(np.uint64) << np.uint64(32)) | sizes[owners].astype(np.uint64))
@@ -360,7 +406,7 @@ def _multiply(threshold: float):
                 if k.any():
                     pairs.append(np.minimum(i[k], j[k]) * len(ids) + np.maximum(i[k], j[k]))
                     held += int(k.sum())
-            if held > PAIRS_HELD:  # what comes again is dropped after the exchange
+            if held > most:  # what comes again is dropped after the exchange
                 yield from _as_batches(pairs, ids)
                 pairs, held = [], 0
         yield from _as_batches(pairs, ids)
@@ -408,20 +454,22 @@ class NearDuplicates:
         self.grams = materialize(gram_table(df, id_column, text, size, min_tokens, tokens_of, short_whole), "grams")
         sets = ["n", "key1", "key2"]
         narrow = self.grams.select("id", *sets)
-        equal = narrow.groupBy(*sets).agg(F.min("id").alias("class_id"), F.count("*").alias("copies")).filter("copies > 1")
+        equal, n_equal = measured(narrow.groupBy(*sets).agg(F.min("id").alias("class_id"), F.count("*").alias("copies")).filter("copies > 1"), "classes")
+        members = join_weighted(narrow, equal, n_equal, sets, F.col("copies") > HOT_CLASS)
         #: class_id and id of every record of a class of more than one
-        self.copies, self.n_copies = measured(narrow.join(equal, sets).select("class_id", "id"), "copies")
+        self.copies, self.n_copies = measured(members.select("class_id", "id"), "copies")
 
     def links(self) -> DataFrame:
         """Pairs (a, b), a < b, of class representatives that are alike, and their similarity."""
         t = self.threshold
         others = self.copies.filter("id != class_id").select("id")
         records = join_measured(self.grams, others, self.n_copies, ["id"], "left_anti")
-        levels = self.spark.sparkContext.broadcast(column_counts(records))
-        sent = records.select("n", "grams").mapInArrow(_sent(levels, t), "sent bigint").agg(F.sum("sent")).first()[0] or 0
-        blocks = max(1, math.ceil(sent / ENTRIES_PER_BLOCK))
-        entries = records.select("id", "n", "sketch", "grams").mapInArrow(_entries(levels, t, blocks), ENTRY_SCHEMA)
-        pairs = entries.groupBy("block").applyInArrow(_multiply(t), "a bigint, b bigint").distinct()
+        shared, sent = self._columns(records)
+        cores = self.spark.sparkContext.defaultParallelism
+        blocks = max(1, math.ceil(sent / ENTRIES_PER_BLOCK), min(cores, sent // LEAST_ENTRIES))
+        entries = records.select("id", "n", "sketch", "grams").mapInArrow(_entries(shared, t, blocks), ENTRY_SCHEMA)
+        # a block a task, wherever its number would be hashed to
+        pairs = entries.repartitionById(blocks, F.col("block")).mapInArrow(_multiply(t), "a bigint, b bigint").distinct()
         pairs = materialize(pairs, "candidates")
         used, n_used = measured(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate-ids")
         sets = join_measured(self.grams.select("id", "n", "grams"), used, n_used, ["id"], "left_semi")
@@ -432,6 +480,24 @@ class NearDuplicates:
         similarity = F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap"))
         return counted.withColumn("similarity", similarity).filter(F.col("similarity") >= t).select("a", "b", "similarity")
 
+    def _columns(self, records: DataFrame):
+        """What tasks must know of the columns, and how many entries will be sent."""
+        sc, t = self.spark.sparkContext, self.threshold
+        log2 = counters_for(records.agg(F.sum("n")).first()[0] or 0)
+        columns = Columns(column_counts(records, log2), SUB_BLOCK, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        counted = records.select("n", "grams").mapInArrow(_suspects(sc.broadcast(columns), t), "column bigint, entries bigint")
+        counted = counted.groupBy("column").agg(F.sum("entries").alias("entries")).filter(F.col("column").isNull() | (F.col("entries") > SUB_BLOCK))
+        counted, n_hot = measured(counted, "hot-columns")
+        sent = counted.filter("column is null").agg(F.sum("entries")).first()[0] or 0
+        if n_hot > HOT_COLUMNS:
+            columns.hot = None
+            return sc.broadcast(columns), sent
+        hot = counted.filter("column is not null").orderBy("column").collect()  # HOT_COLUMNS rows at most
+        columns.hot = np.array([r["column"] for r in hot], np.uint64)
+        each = np.array([r["entries"] for r in hot], np.int64)
+        columns.shares = sub_blocks(each, SUB_BLOCK)
+        return sc.broadcast(columns), sent + int((each * (columns.shares - 1)).sum())
+
     def pairs(self, links: DataFrame | None = None) -> DataFrame:
         """All pairs (a, b), a < b, of records that are alike, copies included."""
         links = (links if links is not None else self.links()).select("a", "b")

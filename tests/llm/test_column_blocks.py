@@ -9,25 +9,28 @@ from tests.llm.test_near_duplicates import brute, corpus
 
 
 @pytest.mark.parametrize("held", [50, 4_000_000])
-def test_hot_columns_count_as_often_as_sent(spark, monkeypatch, held):
+@pytest.mark.parametrize("hot_columns", [1000, 3])
+def test_hot_columns_count_as_often_as_sent(spark, monkeypatch, held, hot_columns):
     """A third of the rows share all their columns but a few: blocks stay within their size."""
+    monkeypatch.setattr(N, "HOT_COLUMNS", hot_columns)
     monkeypatch.setattr(N, "SUB_BLOCK", 4)
     monkeypatch.setattr(N, "ENTRIES_PER_BLOCK", 400)
     monkeypatch.setattr(N, "ENTRIES_HELD", held, raising=False)
     used = []
     entries = N._entries
 
-    def kept(levels, threshold, blocks):
-        used.append((levels, blocks))
-        return entries(levels, threshold, blocks)
+    def kept(columns, threshold, blocks):
+        used.append((columns, blocks))
+        return entries(columns, threshold, blocks)
 
     monkeypatch.setattr(N, "_entries", kept)
     rows = [(k, f"{' '.join(f'b{j}' for j in range(30))} unique{k}") for k in range(60)] + [(300 + k, t) for k, t in enumerate(corpus(9, 60))]
     found = N.NearDuplicates(spark.createDataFrame(rows, "i long, t string"), "i", "t", 3, 0.6, 20)
     got = [(r["a"], r["b"]) for r in found.pairs().collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows, 3, 0.6, 20)
-    levels, blocks = used[0]
+    columns, blocks = used[0]
+    assert (columns.value.hot is None) == (hot_columns == 3)
     records = found.grams.join(found.copies.filter("id <> class_id").select("id"), "id", "left_anti").select("id", "n", "sketch", "grams")
-    sent = records.mapInArrow(entries(levels, 0.6, blocks), N.ENTRY_SCHEMA).groupBy("block").agg(F.sum(F.length("columns") / 4).alias("n")).toPandas()["n"]
-    assert sent.sum() / blocks <= 400 and blocks == np.ceil(sent.sum() / 400)
-    assert sent.max() <= 800
+    sent = records.mapInArrow(entries(columns, 0.6, blocks), N.ENTRY_SCHEMA).groupBy("block").agg(F.sum(F.length("columns") / 4).alias("n")).toPandas()["n"]
+    if hot_columns > 3:
+        assert blocks == np.ceil(sent.sum() / 400) and sent.max() <= 800
