@@ -90,10 +90,10 @@ def read_python_symbols(spark: SparkSession, folder: str) -> DataFrame:
 def python_symbols(files: DataFrame) -> DataFrame:
     """``file_id, path, symbol_type, symbol_name, parent_class, line_number, doc, walk_order``
     of documented modules, classes, functions and methods of ``(file_id, path, text)``."""
-    stem = F.regexp_extract("path", r"([^/]*?)(\.py)?$", 1)
-    found = files.select("file_id", stem.alias("stem"), F.col("text").alias("source_text")).mapInArrow(symbol_batches, SYMBOL_SCHEMA)
+    source = files.select("file_id", "path", F.col("text").alias("source_text"), F.col("path").alias("_path"))
+    found = source.mapInArrow(symbol_batches(1), f"_path string, {SYMBOL_SCHEMA}").withColumnRenamed("_path", "path")
     found = found.withColumn("doc", drop_admonitions(F.col("own_docstring"))).filter("own_docstring <> ''")
-    return found.drop("own_docstring", "bases", "code", "name").join(files.select("file_id", "path"), "file_id")
+    return found.drop("own_docstring", "bases", "base_origins", "code", "name")
 
 
 def read_search_index(spark: SparkSession, path: str) -> DataFrame:
