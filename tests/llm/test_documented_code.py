@@ -79,3 +79,21 @@ def test_pairs(spark):
     assert got[1, "noted"]["description"] == "Words that are kept in the description."
     assert got[1, "with_decorator"]["code"].startswith("@decorated(\n    1)\ndef with") and got[1, "with_decorator"]["line_number"] == SOURCE[: SOURCE.index("def with_dec")].count("\n") + 1
     assert documented_functions(df.limit(0)).count() == 0
+
+
+def test_bases_come_from_the_imported_module(spark):
+    t = dt.datetime(2025, 1, 1)
+    told = 'class Base:\n  def go(self):\n    """The text of the {} module, not another."""\n'
+    files = {
+        1: ("other/base.py", told.format("wrong")),
+        2: ("pkg/core/base.py", told.format("right")),
+        3: ("pkg/core/use.py", "from pkg.core.base import Base as B\nclass Use(B[int]):\n  def go(self): pass\n"),
+        4: ("pkg/core/near.py", "from .base import Base\nclass Near(Base):\n  def go(self): pass\n"),
+        5: ("pkg/far/far.py", "import pkg.core.base as m\nfrom ..core import base\nclass Far(m.Base):\n  def go(self): pass\nclass Up(base.Base):\n  def go(self): pass\n"),
+        6: ("pkg/out.py", "from elsewhere import Base\nclass Out(Base):\n  def go(self): pass\n"),
+        7: ("pkg/guess.py", "class Guess(Base):\n  def go(self): pass\n"),
+    }
+    rows = [(i, "s", path, text, t) for i, (path, text) in files.items()]
+    df = spark.createDataFrame(rows, "file_id long, source_site string, source_file string, source_text string, loaded_at timestamp")
+    got = {r["symbol_name"]: r["description"].split()[4] for r in documented_functions(df).filter("doc_origin = 'inherited'").collect()}
+    assert got == {"Use.go": "right", "Near.go": "right", "Far.go": "right", "Up.go": "right", "Guess.go": "wrong"}
