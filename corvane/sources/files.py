@@ -120,3 +120,17 @@ def delete(spark: SparkSession, path: str) -> bool:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(conf).delete(where, True)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(f.getPath().getName() for f in where.getFileSystem(conf).listStatus(where))
+
+
+def write_marker(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).create(where, True).close()
