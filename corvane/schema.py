@@ -20,6 +20,7 @@ RECORD = T.StructType(
     ]
 )
 RECORD_COLUMNS = RECORD.fieldNames()
+MAX_SITES = 1_000
 
 
 @dataclass(frozen=True)
@@ -46,8 +47,11 @@ class Sites:
 
     @classmethod
     def from_config(cls, config: DataFrame) -> Sites:
-        """From rows with repo_name and base_url, one a repository, ordered by name."""
-        rows = config.select("repo_name", "base_url").filter("repo_name is not null and base_url is not null").distinct().limit(1000).collect()
+        """From rows with repo_name and base_url, one a repository, ordered by name; an error
+        beyond ``MAX_SITES``, as each site is a branch of the expressions made of them."""
+        rows = config.select("repo_name", "base_url").filter("repo_name is not null and base_url is not null").distinct().limit(MAX_SITES + 1).collect()
+        if len(rows) > MAX_SITES:
+            raise ValueError(f"more than {MAX_SITES} sites")
         return cls(tuple(Site(r["repo_name"], r["base_url"]) for r in sorted(rows)))
 
     @property

@@ -14,13 +14,16 @@ _made: dict[str, list[str]] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a local folder is made and
-    kept for the life of the context.
+    Only where the session names none and runs on one machine (tests, a laptop) a local
+    folder is made and kept for the life of the context; on a cluster that is an error,
+    as each executor would write to a disk of its own.
     """
     named = spark.conf.get(SETTING, None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
+    if sc.getCheckpointDir() is None and not sc.master.startswith("local"):
+        raise RuntimeError(f"{SETTING} must name a folder that all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
     return sc.getCheckpointDir().rstrip("/")
