@@ -36,9 +36,10 @@ def latest_wide_rows(df: DataFrame, key: str, order: str = "loaded_at") -> DataF
     """``latest_rows`` for tables with long texts, of which few rows are superseded.
 
     A first pass reads only ``key`` and ``order`` and finds the keys delivered more than
-    once. Where these are few enough to broadcast and none is tied, the wide rows are
-    filtered where they lie and never shuffled; else this is ``latest_rows``. The rows
-    are the same either way. The first pass is an eager job.
+    once. Where these are few enough to broadcast, the wide rows are filtered where they
+    lie and never shuffled, but for those of keys with a tie, which go through
+    ``latest_rows``; else all do. The rows are the same either way. The first pass is an
+    eager job.
     """
     repeated, latest = _free(df, "_repeated"), _free(df, "_latest")
     per_order = df.filter(_known([key])).groupBy(key, order).agg(F.count("*").alias("_c"))
@@ -46,15 +47,20 @@ def latest_wide_rows(df: DataFrame, key: str, order: str = "loaded_at") -> DataF
         F.max(order).alias(latest), F.sum("_c").alias("_n"), F.max_by("_c", order).alias("_at_latest")
     )
     again, rows = measured(per_key.filter("_n > 1"), "repeated-keys")
-    if rows > BROADCAST_ROWS or again.filter(f"_at_latest is null or _at_latest > 1").limit(1).count():
+    if rows > BROADCAST_ROWS:
         return latest_rows(df, [key], order)
-    side = F.broadcast(again.select(F.col(key).alias(repeated), latest))
-    return (
+    tied = F.col("_at_latest").isNull() | (F.col("_at_latest") > 1)
+    has_ties = bool(again.filter(tied).limit(1).count())
+    side = F.broadcast(again.select(F.col(key).alias(repeated), F.when(~tied, F.col(latest)).alias(latest)))
+    valid = (
         df.filter(_known([key]))
         .join(side, F.col(key) == F.col(repeated), "left")
         .filter(F.col(repeated).isNull() | (F.col(order) == F.col(latest)))
         .drop(repeated, latest)
     )
+    if not has_ties:
+        return valid
+    return valid.unionByName(latest_rows(df.join(F.broadcast(again.filter(tied).select(key)), key, "left_semi").select(df.columns), [key], order))
 
 
 def _known(keys: list[str]):
