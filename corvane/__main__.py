@@ -35,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
     api = commands.add_parser("api")
     api.add_argument("symbol")
     api.add_argument("--anchor")
-    for name in ("status", "validate", "mode"):
+    for name in ("build", "check", "status", "validate", "mode"):
         commands.add_parser(name)
     clean = commands.add_parser("clean")
     clean.add_argument("--force", action="store_true")

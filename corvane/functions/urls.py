@@ -10,17 +10,19 @@ from pyspark.sql import functions as F
 from corvane.functions.text import strip
 from corvane.schema import Sites
 
-# Pages of symbols that have one of their own; a parameter of ``api_page``.
+# Pages of symbols that have one of their own; a parameter of
+# ``api_address``, and of the engine's settings.
 API_ALIASES = {"BaseModel": "api/base_model/", "TypeAdapter": "api/type_adapter/", "ValidationError": "api/errors/"}
 API_DEFAULT = "api/"
 
 
 def is_denied(s: Column, sites: Sites) -> Column:
-    """True for http(s) addresses outside the known bases."""
+    """True for addresses of the scheme http or https, whatever follows it, outside the known
+    bases. Tabs and line ends don't hide a scheme."""
     allowed = F.lit(False)
     for site in sites.all:
         allowed = allowed | s.startswith(site.remote_base)
-    return s.rlike(r"^(?i)https?://") & ~allowed
+    return F.translate(s, "\t\r\n", "").rlike(r"^(?i)[\x00-\x20]*https?:") & ~allowed
 
 
 def resolve(path_or_url: Column, sites: Sites, exists_elsewhere: Column | None = None) -> Column:
@@ -73,9 +75,14 @@ def with_anchor(url: Column, anchor: Column) -> Column:
     return F.when(F.coalesce(anchor, F.lit("")) != "", F.concat(url, F.lit("#"), anchor)).otherwise(url)
 
 
-def api_page(symbol: Column, aliases: dict[str, str] | None = None) -> Column:
-    """The file that documents a symbol: its alias or the default, with `index.html`."""
+def api_address(symbol: Column, aliases: dict[str, str] | None = None) -> Column:
+    """The address of a symbol's page: its alias or the default."""
     page = F.lit(API_DEFAULT)
     for name, target in (API_ALIASES if aliases is None else aliases).items():
         page = F.when(symbol == name, target).otherwise(page)
-    return F.when(page.endswith(".html"), page).otherwise(F.concat(F.rtrim(page, F.lit("/")), F.lit("/index.html")))
+    return page
+
+
+def page_file(address: Column) -> Column:
+    """The file behind an address: itself, or ``index.html`` in the folder."""
+    return F.when(address.endswith(".html"), address).otherwise(F.concat(F.rtrim(address, F.lit("/")), F.lit("/index.html")))

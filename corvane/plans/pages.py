@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.html import section_text, text_by_line
 from corvane.functions.text import HTML_MARKER, SECTION_LENGTH, TEXT_MARKER, normalize_text, truncated
-from corvane.functions.urls import api_page
+from corvane.functions.urls import api_address, page_file
 from corvane.schema import Sites
 
 
@@ -34,12 +34,20 @@ def section_views(pages: DataFrame, sites: Sites, anchor: Column) -> DataFrame:
 
 def api_views(pages: DataFrame, sites: Sites, symbols: DataFrame, anchor: Column | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
     """``symbol, url, text, section`` of the page that documents each symbol, on the first
-    site; the whole text as it is, or the section if an anchor is given."""
-    wanted = symbols.select("symbol", api_page(F.col("symbol"), aliases).alias("rel"))
+    site; the whole text as it is, or the section if an anchor is given.
+
+    ``symbols`` has the column symbol and may have ``address``, the page of each; where that
+    is missing or null it follows from ``aliases``. The url is the address as it is, and
+    the anchor if there is one. A page is parsed once, however many symbols it documents.
+    Text and section of a symbol whose page is missing are null.
+    """
+    given = F.col("address") if "address" in symbols.columns else F.lit(None).cast("string")
+    wanted = symbols.select("symbol", F.coalesce(given, api_address(F.col("symbol"), aliases)).alias("address"))
+    wanted = wanted.withColumn("rel", page_file(F.col("address")))
     first = pages.filter(F.col("site") == sites.first.name).select("rel", "html")
-    found = wanted.join(first, "rel")
     none = F.lit(None).cast("string")
-    return found.select(
-        "symbol", sites.display_url(F.lit(sites.first.name), F.col("rel")).alias("url"),
-        (text_by_line("html") if anchor is None else none).alias("text"), (none if anchor is None else section_text(F.col("html"), anchor)).alias("section"),
-    )
+    used = first.join(wanted.select("rel").distinct(), "rel", "left_semi")
+    parsed = used.select("rel", (text_by_line("html") if anchor is None else none).alias("text"), (none if anchor is None else section_text(F.col("html"), anchor)).alias("section"))
+    base = sites.display_url(F.lit(sites.first.name), F.col("address"))
+    url = base if anchor is None else F.concat(base, F.lit("#"), anchor)
+    return wanted.join(parsed, "rel", "left").select("symbol", url.alias("url"), "text", "section")

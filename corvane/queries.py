@@ -465,6 +465,25 @@ def chunk_by_words(spark: SparkSession, d: str) -> DataFrame:
     return cut.select("doc_id", "part", by_words.one(F.col("chunk")).alias("words"), "chunk")
 
 
+_WORDS_SQL = r"len(list_filter(regexp_split_to_array({0}, '[\s\x{{a0}}\x{{85}}\x{{2028}}\x{{3000}}]+'), lambda w: w <> ''))"
+SQL["chunk_by_words"] = f"""
+with recursive whole as (select doc_id, coalesce(text, '') as text, {_WORDS_SQL.format("coalesce(text, '')")} as n from documents),
+para as (
+  select doc_id, generate_subscripts(p, 1) as k, unnest(p) as t from (select doc_id, string_split(text, chr(10) || chr(10)) as p from whole where n > 120)
+), sized as (select *, {_WORDS_SQL.format('t')} as n from para),
+walk as (
+  select doc_id, k, n as held, 0 as part from sized where k = 1
+  union all
+  select s.doc_id, s.k, case when w.held + s.n > 120 then s.n else w.held + s.n end, case when w.held + s.n > 120 then w.part + 1 else w.part end
+  from walk w join sized s on s.doc_id = w.doc_id and s.k = w.k + 1
+), packed as (
+  select w.doc_id, w.part, trim(string_agg(s.t, chr(10) || chr(10) order by s.k), {_WS_SQL}) as chunk from walk w join sized s using (doc_id, k) group by all
+  union all select doc_id, 0, trim(text, {_WS_SQL}) from whole where n <= 120
+)
+select doc_id, (row_number() over (partition by doc_id order by part) - 1)::int as part, {_WORDS_SQL.format('chunk')}::int as words, chunk
+from packed where chunk <> '' or doc_id in (select doc_id from whole where n <= 120)"""
+
+
 @query
 def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
     cut = table(spark, d, "documents").select("doc_id", F.posexplode(sections(F.col("text"))).alias("pos", "s"))
@@ -560,7 +579,7 @@ def denied_urls(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["denied_urls"] = """
-select distinct url from chunk_snapshot where lower(url) like 'http%://%' and regexp_matches(lower(url), '^https?://')
+select distinct url from chunk_snapshot where regexp_matches(lower(url), '^https?:')
 and not exists (select 1 from repo_config where starts_with(url, rtrim(base_url, '/') || '/'))"""
 
 
@@ -667,19 +686,69 @@ select ord, case when length(md_text) > 500 then substring(md_text, 1, 500) || c
   case when length(title) > 5 then substring(title, 1, 5) || chr(10) || '<!-- ... truncated ... -->' else title end as title from record"""
 
 
+# what the page of a chunk holds, in SQL
+_FIRST_SITE_SQL = "(source_site is null or source_site not in (select repo_name from repo_config where repo_name > (select min(repo_name) from repo_config)))"
+_LOCAL_FIRST_SQL = "(select 'local://' || replace(min(repo_name), '_', '-') || '/' from repo_config)"
+_LOCAL_SQL = f"case when {_FIRST_SITE_SQL} then {_LOCAL_FIRST_SQL} else 'local://' || replace(source_site, '_', '-') || '/' end"
+_STRIP_SQL = "trim(coalesce({0}, ''), " + _WS_SQL + ")"
+_SECTION_SQL = f"substring(concat_ws(chr(10), nullif({_STRIP_SQL.format('title')}, ''), nullif({_STRIP_SQL.format('md_text')}, ''), 'More', 'See above .', 'above', 'End'), 1, 4000)"
+_NOISE_SQL = r"""trim(regexp_replace(translate(
+    regexp_replace(regexp_replace(regexp_replace({0}, '(?s)`{{3,}}.*?`{{3,}}', ' ', 'g'), '(?m)^\s*\|.*\|\s*$', ' ', 'g'), '(^|\s)(\d{{1,4}}\s+){{5,}}\d{{1,4}}(\s|$)', ' ', 'g'),
+    '|`', '  '), '[\s\x{{a0}}\x{{85}}\x{{2028}}\x{{3000}}]+', ' ', 'g'))"""
+_BREAK = "chr(10) || chr(10)"
+_BODY_SQL = f"{_BREAK} || coalesce(md_text, '') || {_BREAK} || {_BREAK} || '## More' || {_BREAK} || {_BREAK} || 'See [above](#top).' || {_BREAK}"
+_PAGE_SECTIONS_SQL = _RECORDS_SQL + f""", section as (
+  select *, 0::int as pos, 'top' as id, 1::int as level, {_STRIP_SQL.format('title')} as heading, {_NOISE_SQL.format(_BODY_SQL)} as markdown from record
+  union all select *, 1::int, 'more', 2::int, 'More', 'See [above](#top).' from record
+)"""
+
+SQL["html_page_sections"] = _PAGE_SECTIONS_SQL + "select ord, pos, id as anchor, level, markdown from section"
+
+SQL["html_page_records"] = _PAGE_SECTIONS_SQL + f"""
+select 'p/' || ord || '.html' as path, pos, 0::int as part, case when heading <> '' then heading else ord || '.html' end as title, id as anchor, level as heading_level, markdown as md_text,
+  (select rtrim(arg_min(base_url, repo_name), '/') from repo_config) || '/p/' || ord || '.html#' || id as url, 'p/' || ord || '.html' as page,
+  case when {_FIRST_SITE_SQL} then (select min(repo_name) from repo_config) else source_site end as source_site from section"""
+
+SQL["html_page_markdown"] = _RECORDS_SQL + f"""
+select case when {_FIRST_SITE_SQL} then (select min(repo_name) from repo_config) else source_site end || '-p_' || ord || '.md' as name,
+  {_NOISE_SQL.format(f"'# ' || coalesce(title, '') || {_BREAK} || {_BODY_SQL}")} as markdown from record"""
+
+_HTML_SQL = "'<!doctype html><html><head><style>p { x: y }</style></head><body><nav>Menu</nav><main role=''main''><h1 id=''top''>' || {0} || '</h1><p>' || {1} || '</p><h2 id=''more''>More</h2><p>See <a href=''#top''>above</a>.</p></main><footer>End</footer></body></html>'"
+_ESCAPED_SQL = "replace(replace(replace(replace(coalesce({0}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+_PAGE_TEXT_SQL = "concat_ws(chr(10), 'Menu', nullif(title, ''), nullif(md_text, ''), 'More', 'See ', 'above', '.', 'End')"
+SQL["page_views_cut"] = SQL["normalize_chunks"].replace("coalesce(md_text, '')", _PAGE_TEXT_SQL).replace("\nselect ord, trim(", ", viewed as (select ord, trim(", 1).replace(
+    " as text from tidy", f""" as t from tidy), page as (select ord, {_LOCAL_SQL} as base, {_HTML_SQL.replace('{ x: y }', '{{ x: y }}').format(_ESCAPED_SQL.format('title'), _ESCAPED_SQL.format('md_text'))} as h from record)
+select base || 'p/' || ord || '.html' as url, 'p/' || ord || '.html' as path, case when length(t) > 300 then substring(t, 1, 300) || chr(10) || chr(10) || '[... truncated ...]' else t end as text,
+  case when length(h) > 300 then substring(h, 1, 300) || chr(10) || '<!-- ... truncated ... -->' else h end as html, length(t) > 300 or length(h) > 300 as truncated,
+  length(t)::int as text_length, length(h)::int as html_length, 300::int as max_chars from viewed join page using (ord)""")
+
+
 @query
 def page_sections(spark: SparkSession, d: str) -> DataFrame:
     return section_views(_pages(spark, d), _sites(spark, d), F.lit("top"))
 
 
+SQL["page_sections"] = _RECORDS_SQL + f"""
+select {_LOCAL_SQL} || 'p/' || ord || '.html#top' as url, 'p/' || ord || '.html' as path, 'top' as anchor, {_SECTION_SQL} as section, length({_SECTION_SQL}) >= 4000 as truncated from record"""
+
+
 @query
 def api_pages(spark: SparkSession, d: str) -> DataFrame:
-    """The section of its API page for every listed symbol; all have the default page, which
-    is made of the first chunk of the site."""
+    """The section of its API page for every listed symbol: the page of the chunk of the same
+    number on the first site, else the default page, made of that site's first chunk."""
     sites = _sites(spark, d)
-    pages = _pages(spark, d).groupBy("site").agg(F.min_by("html", "ord").alias("html")).withColumn("rel", F.lit("api/index.html"))
-    symbols = table(spark, d, "python_symbol").select(F.trim("symbol_name").alias("symbol")).filter("symbol is not null").distinct()
-    return api_views(pages, sites, symbols, F.lit("top"))
+    pages = _pages(spark, d).filter(F.col("site") == sites.first.name)
+    default = pages.groupBy("site").agg(F.min_by("html", "ord").alias("html")).withColumn("rel", F.lit("api/index.html"))
+    symbols = table(spark, d, "python_symbol").filter("symbol_name is not null").groupBy(F.trim("symbol_name").alias("symbol")).agg(F.min("symbol_id").alias("ord"))
+    symbols = symbols.join(pages.select("ord", F.col("rel").alias("address")), "ord", "left")
+    return api_views(pages.unionByName(default, allowMissingColumns=True), sites, symbols, F.lit("top"))
+
+
+SQL["api_pages"] = _RECORDS_SQL + f"""
+, page as (select ord, {_SECTION_SQL} as section from record where {_FIRST_SITE_SQL}),
+symbol as (select trim(symbol_name) as symbol, min(symbol_id) as ord from python_symbol where symbol_name is not null group by 1)
+select symbol, {_LOCAL_FIRST_SQL} || coalesce('p/' || page.ord || '.html', 'api/') || '#top' as url, null::varchar as text,
+  coalesce(section, (select arg_min(section, ord) from page)) as section from symbol left join page using (ord)"""
 
 
 # ---- files, status, streams

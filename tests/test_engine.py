@@ -7,7 +7,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from corvane.__main__ import main
-from corvane.functions.urls import api_page, api_url, is_within, resolve
+from corvane.functions.urls import api_address, api_url, is_denied, is_within, page_file, resolve
+from corvane.operators.chunking import by_chars
 from corvane.plans.engine import Engine, Layout
 from corvane.schema import RECORD_COLUMNS, Site, Sites
 from corvane.sources.files import count_jsonl, file_stats, python_symbols, read_html, read_jsonl, read_markdown, read_python_symbols, read_search_index, write_jsonl
@@ -59,7 +60,13 @@ def test_engine(spark, tree):
     assert engine.get("api/index.html").first()["url"] == "local://alpha-two/api/index.html"  # the other site's page wins
     assert engine.get("https://a.example/latest/api/index.html").first()["url"] == "local://alpha/api/index.html"
     assert engine.section("local://alpha/index.html", "more").first()["section"] == "More Start\ndetails"
-    assert "cache cache model" in engine.api("Anything").first()["text"] and engine.api("Anything", "more").first()["section"] == "More Api\ndetails"
+    whole, part = engine.api("Anything").first(), engine.api("Anything", "more").first()
+    assert "cache cache model" in whole["text"] and whole["url"] == "local://alpha/api/" and whole["section"] is None
+    assert part["section"] == "More Api\ndetails" and part["url"] == "local://alpha/api/#more" and part["text"] is None
+    assert engine.api("Anything", "nowhere").first()["section"] == ""
+    assert engine.api("Start", aliases={"Start": "index.html"}).first()["url"] == "local://alpha/index.html"
+    with pytest.raises(FileNotFoundError):
+        engine.api("BaseModel")
     with pytest.raises(FileNotFoundError):
         engine.get("missing.html")
     with pytest.raises(PySparkException, match="denied"):
@@ -67,6 +74,59 @@ def test_engine(spark, tree):
     assert engine.clean() == 0 and engine.clean(force=True) == 3 and not engine.validate().first()["valid"]
 
 
+def test_prebuilt_search_index(spark, tree):
+    engine = Engine(spark, SITES, Layout(str(tree / "data"), {"alpha": str(tree / "one")}))
+    path = tree / "one" / "search" / "search_index.json"
+    path.parent.mkdir()
+    path.write_text("{ not json")
+    assert engine.search("cache").count() == 2  # the pages, as the index can't be read
+    path.write_text(json.dumps({"docs": [{"location": "a/#x", "title": "cache", "text": "some cache"}, {"location": "b/", "title": "b", "text": "none"}]}))
+    assert [(h["url"], h["score"]) for h in engine.search("cache").collect()] == [("local://alpha/a/#x", 4.0)]
+
+
+def test_build_and_check(spark, tree, monkeypatch):
+    monkeypatch.setenv("CORVANE_HTML_ALPHA", str(tree / "one"))
+    monkeypatch.setenv("CORVANE_API_ALIASES", '{"Start": "index.html"}')
+    (tree / "docs_raw").mkdir()
+    (tree / "two").rename(tree / "docs_raw" / "alpha_two")
+    below = tree / "docs"
+    monkeypatch.chdir(below)
+    layout = Layout.from_conf(spark, SITES)
+    assert layout.data_dir == str(tree / "data") and layout.html_roots == {"alpha": str(tree / "one"), "alpha_two": str(tree / "docs_raw" / "alpha_two")}
+    assert layout.aliases["Start"] == "index.html" and layout.aliases["BaseModel"]
+    engine = Engine(spark, SITES, layout)
+    assert engine.check().first()["advice"] == "build"
+    built = engine.build().first()
+    assert built["success"] and built["records"] == 6 and built["written"] == {"alpha": 4, "alpha_two": 2}
+    assert engine.check().first()["advice"] == "ready" and engine.api("Start").first()["url"] == "local://alpha/index.html"
+
+
+def test_chunks_are_sized_in_tokens(spark, tree):
+    """The engine counts tokens of the tokenizer, not characters."""
+    text = "\n\n".join("internationalization " * 60 for _ in range(40))
+    (tree / "docs" / "long.md").write_text(text)
+    sizes = {}
+    for name, counter in (("tokens", None), ("chars", by_chars)):
+        engine = Engine(spark, SITES, Layout(str(tree / "data")), counter)
+        engine.ingest_source(SITES.first, str(tree / "docs"))
+        rows = read_jsonl(spark, [engine.layout.jsonl(SITES.first)]).filter(F.col("page") == "long").select("md_text").collect()
+        sizes[name] = len(rows)
+        if name == "tokens":
+            counts = [r[0] for r in spark.createDataFrame([(r["md_text"],) for r in rows], "t string").select(engine.counter.one(F.col("t"))).collect()]
+            assert engine.counter is not by_chars and max(counts) <= 1200 + 40
+    assert sizes["tokens"] != sizes["chars"]
+
+
+@pytest.mark.parametrize("address", ["http:x", "HTTP:/x", "ht\ttp://x", "https://evil.example", " https://b.exampl"])
+def test_denied(spark, address):
+    assert spark.createDataFrame([(address,)], "u string").select(is_denied(F.col("u"), SITES)).first()[0]
+
+
+@pytest.mark.parametrize("address", ["https://b.example/x", "httpx", "api/http:", "local://alpha/x", "ftp://x", ""])
+def test_allowed(spark, address):
+    assert not spark.createDataFrame([(address,)], "u string").select(is_denied(F.col("u"), SITES)).first()[0]
+
+
 @pytest.mark.parametrize(
     ("address", "want"),
     [
@@ -87,7 +147,8 @@ def test_denied(spark):
 def test_api_addresses(spark):
     df = spark.createDataFrame([("pkg.base_model",), ("Plain",), ("A.b.C",)], "s string")
     assert [r[0] for r in df.select(api_url(F.col("s"), "https://x/")).collect()] == ["https://x/api/base-model/", "https://x/api/", "https://x/api/b/"]
-    assert [r[0] for r in df.select(api_page(F.col("s"), {"Plain": "p/q.html"})).collect()] == ["api/index.html", "p/q.html", "api/index.html"]
+    address = api_address(F.col("s"), {"Plain": "p/q.html"})
+    assert [tuple(r) for r in df.select(address, page_file(address)).collect()] == [("api/", "api/index.html"), ("p/q.html", "p/q.html"), ("api/", "api/index.html")]
 
 
 def test_jsonl(spark, tmp_path):
