@@ -124,6 +124,14 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+SQL["p2_groups"] = SQL["p2_found"].replace("with valid as", "with recursive valid as", 1).replace("select a as chunk_id_a, b as chunk_id_b from both_have", ", pair as (select a, b, o = p.n and o = q.n as same from both_have") + """
+), either as (select a, b, same from pair union all select b, a, same from pair),
+class as (select a as id, least(a, coalesce(min(b) filter (same), a)) as class_id from either group by a),
+link as (select distinct x.class_id as a, y.class_id as b from either join class x on x.id = either.a join class y on y.id = either.b where x.class_id <> y.class_id),
+reach as (select class_id as id, class_id as r from class union select reach.id, link.b from reach join link on link.a = reach.r)
+select c.id as chunk_id, c.class_id, (select min(r) from reach where reach.id = c.class_id) as group_id, (select count(*) from link where link.a = c.class_id) as n_links from class c"""
+
+
 # ---- 3: functions with their documentation
 
 
