@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions.text import count_tokens, tokenize
-from corvane.sources.shared import shared_path
+from corvane.functions.text import count_tokens
+from corvane.functions.tokens import text_slices, token_runs
+from corvane.sources.shared import materialize, shared_path
 
 # The ranking's parameters.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -34,11 +38,22 @@ def doc_lengths(records: DataFrame, text: str = "md_text", key: str = "ord") ->
 
 
 def term_frequencies(records: DataFrame, text: str = "md_text", key: str = "ord") -> DataFrame:
-    """``ord, dl, term, tf``. A record's tokens lie in one row, so the counts are complete
-    before the exchange; its key holds both columns, so a common term is no hot key."""
-    tokens = records.select(F.col(key).alias("ord"), tokenize(F.col(text)).alias("t"))
-    each = tokens.select("ord", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return each.groupBy("ord", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+    """``ord, dl, term, tf``. A record's tokens lie in one row and are counted there, a batch of
+    records at once; nothing is shuffled."""
+    source = records.select(F.col(key).alias("ord"), F.lower(F.col(text)).alias("_text"))
+    kind = source.schema["ord"].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, 1):
+            tokens = token_runs(batch.column(1))
+            words = max(1, len(tokens.dictionary))
+            pairs, times = np.unique(tokens.record * words + tokens.code, return_counts=True)
+            record = pairs // words
+            length = np.bincount(tokens.record, minlength=batch.num_rows).astype(np.int32)
+            term = tokens.dictionary.take(pa.array(pairs % words)).cast(pa.string())
+            yield pa.record_batch([batch.column(0).take(pa.array(record)), pa.array(length[record]), term, pa.array(times.astype(np.int32))], names=["ord", "dl", "term", "tf"])
+
+    return source.mapInArrow(count, f"ord {kind}, dl int, term string, tf int")
 
 
 def raw_idf(n, df):
@@ -56,13 +71,15 @@ def build_index(records: DataFrame, path: str | None = None, text: str = "md_tex
     path = path or shared_path(spark, "index")
     records = records.withColumn("ord", F.col(key)) if key != "ord" else records
     parts = cluster or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # written first where it is computed: a range exchange looks at its input twice
+    records = materialize(records, "records")
     records.repartitionByRange(parts, "ord").sortWithinPartitions("ord").write.mode("overwrite").parquet(f"{path}/records")
     stored = spark.read.parquet(f"{path}/records")
     doc_lengths(stored, text).write.mode("overwrite").parquet(f"{path}/docs")
-    frequencies = term_frequencies(stored, text).select("term", "ord", "tf", "dl")
+    frequencies = materialize(term_frequencies(stored, text).select("term", "ord", "tf", "dl"), "frequencies")
     frequencies.repartitionByRange(parts, "term", "ord").sortWithinPartitions("term", "ord").write.mode("overwrite").parquet(f"{path}/postings")
     n, total = spark.read.parquet(f"{path}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    terms = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", raw_idf(F.lit(n), F.col("df")))
+    terms = frequencies.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", raw_idf(F.lit(n), F.col("df")))
     terms.write.mode("overwrite").parquet(f"{path}/raw_terms")
     raw = spark.read.parquet(f"{path}/raw_terms")
     avg_idf = raw.agg(F.avg("raw")).first()[0] or 0.0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from functools import reduce
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import TOKEN, substring_count, tokenize
 from corvane.operators.index import B, K1, Index
+from corvane.sources.shared import materialize
+
+#: Postings of one term that are joined with the queries under one key, about.
+POSTINGS_PER_SALT = 200_000
 
 
 def query_tokens(query: str) -> list[str]:
@@ -30,42 +35,53 @@ def any_of(column: str, values: list) -> Column:
 
 def bm25_scores(index: Index, query: str) -> DataFrame:
     """``ord, score`` of the records that hold a token of the query; repeated tokens count
-    again. Only the postings of these tokens are read."""
+    again. Only the postings of these tokens are read, whose weights come first."""
     times = Counter(query_tokens(query))
-    wanted = any_of("term", list(times))
-    repeats = F.create_map(*[F.lit(x) for t in times.items() for x in t])[F.col("term")] if times else F.lit(0)
-    terms = index.terms.filter(wanted).select("term", (F.col("idf") * repeats).alias("w"))  # one row a token of the query
-    hit = index.postings.filter(wanted).join(F.broadcast(terms), "term")
-    return hit.groupBy("ord").agg(F.round(F.sum(F.col("w") * weight(F.col("tf"), F.col("dl"), index.avgdl)), 6).alias("score"))
+    known = index.terms.filter(any_of("term", list(times))).select("term", "idf").collect() if times else []  # one row a token of the query
+    weights = {r["term"]: r["idf"] * times[r["term"]] for r in known}
+    w = F.create_map(*[F.lit(x) for t in weights.items() for x in t])[F.col("term")] if weights else F.lit(0.0)
+    hit = index.postings.filter(any_of("term", list(weights)))
+    return hit.groupBy("ord").agg(F.round(F.sum(w * weight(F.col("tf"), F.col("dl"), index.avgdl)), 6).alias("score"))
 
 
-def bm25_top(index: Index, query: str, k: int = 10) -> DataFrame:
-    """``ord, score`` of the ``k`` best records, ties by ``ord``.
+def best_records(index: Index, query: str, k: int) -> list[tuple]:
+    """(ord, score) of the ``k`` best records, ties by ``ord``.
 
     Records without any token of the query score 0 and fill up what is missing; the other
-    records are looked at only where fewer than ``k`` score more than that. The ``k`` rows
-    come to the driver, which then asks for just these records.
+    records are looked at only where fewer than ``k`` score more than that.
     """
     order = [F.desc("score"), F.asc("ord")]
     top = bm25_scores(index, query).orderBy(*order).limit(max(0, k)).collect() if query_tokens(query) else []
     if len(top) < k or any(r["score"] <= 0 for r in top):
         scored = index.docs.select("ord").join(bm25_scores(index, query), "ord", "left").select("ord", F.coalesce("score", F.lit(0.0)).alias("score"))
         top = scored.orderBy(*order).limit(max(0, k)).collect()
-    return index.records.sparkSession.createDataFrame([(r["ord"], r["score"]) for r in top], f"ord {index.records.schema['ord'].dataType.simpleString()}, score double").coalesce(1)
+    return [(r["ord"], r["score"]) for r in top]
+
+
+def bm25_top(index: Index, query: str, k: int = 10) -> DataFrame:
+    """``ord, score`` of the ``k`` best records, which come to the driver."""
+    return _as_frame(index, best_records(index, query, k))
+
+
+def _as_frame(index: Index, top: list[tuple]) -> DataFrame:
+    return index.records.sparkSession.createDataFrame(top, f"ord {index.records.schema['ord'].dataType.simpleString()}, score double").coalesce(1)
 
 
-def fetch(index: Index, top: DataFrame) -> DataFrame:
-    """The records of a ranking of a few rows, with their scores."""
-    wanted = [r["ord"] for r in top.select("ord").collect()]
-    return index.records.filter(any_of("ord", wanted)).join(F.broadcast(top), "ord")
+def fetch(index: Index, top: list[tuple]) -> DataFrame:
+    """The records of a ranking of a few rows (ord, score), with their scores."""
+    return index.records.filter(any_of("ord", [r[0] for r in top])).join(F.broadcast(_as_frame(index, top)), "ord")
 
 
 def bm25_many(index: Index, queries: DataFrame, k: int = 10, key: str = "query_id", text: str = "text") -> DataFrame:
     """``query_id, rank, ord, score`` of the ``k`` best records of each query that hold one
-    of its tokens. Queries without tokens yield nothing."""
+    of its tokens. Queries without tokens yield nothing. The postings of a common term are
+    spread over as many keys as the most common one asks for."""
     tokens = queries.select(F.col(key).alias("query_id"), F.explode(tokenize(F.col(text))).alias("term"))
-    asked = tokens.groupBy("query_id", "term").agg(F.count("*").alias("times")).join(index.terms, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w"))
-    hit = asked.join(index.postings, "term")
+    asked = tokens.groupBy("query_id", "term").agg(F.count("*").alias("times")).join(index.terms, "term")
+    asked = materialize(asked.select("query_id", "term", "df", (F.col("times") * F.col("idf")).alias("w")), "asked")
+    salts = max(1, math.ceil((asked.agg(F.max("df")).first()[0] or 0) / POSTINGS_PER_SALT))
+    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hit = asked.join(index.postings.withColumn("salt", F.pmod(F.xxhash64("ord"), F.lit(salts)).cast("int")), ["term", "salt"])
     scored = hit.groupBy("query_id", "ord").agg(F.round(F.sum(F.col("w") * weight(F.col("tf"), F.col("dl"), index.avgdl)), 6).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "ord", "score")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import snippet
 from corvane.operators.index import Index
-from corvane.operators.rank import bm25_top, fetch, query_tokens, substring_top
+from corvane.operators.rank import best_records, fetch, query_tokens, substring_top
 from corvane.schema import Sites
 
 DEFAULT_K, MOST_K, OVERSAMPLE = 10, 50, 3
@@ -22,7 +22,7 @@ def clamp_k(k: object) -> int:
 
 def bm25_hits(index: Index, query: str, k: int, sites: Sites) -> DataFrame:
     """Best records with display url and snippet; records are fetched after the cut."""
-    top = bm25_top(index, query, k)
+    top = best_records(index, query, k)
     needle = F.lit(" ".join(query_tokens(query)))
     return fetch(index, top).select(
         "ord", "score", "title", sites.display_url(F.col("source_site"), F.col("page")).alias("url"), "anchor",

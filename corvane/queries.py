@@ -15,7 +15,7 @@ from corvane.functions.urls import api_url, docstring_page, is_denied, markdown_
 from corvane.operators.chunking import by_chars, by_words, chunk_markdown, chunk_text, slices
 from corvane.operators.index import Index, build_index
 from corvane.operators.latest import latest_rows, latest_wide_rows
-from corvane.operators.rank import bm25_many, bm25_top, fetch, substring_top
+from corvane.operators.rank import best_records, bm25_many, bm25_top, fetch, substring_top
 from corvane.operators.records import html_records, markdown_snapshots
 from corvane.operators.search import search
 from corvane.operators.sections import docstring_records, markdown_records, sections, union_records
@@ -197,8 +197,7 @@ _BASE_SQL = "case when source_site in (select repo_name from repo_config where r
 @query
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     index = _index(spark, d)
-    top = bm25_top(index, _ASKED, 10)
-    return fetch(index, top).select("ord", "score", "title", _sites(spark, d).display_url(F.col("source_site"), F.col("page")).alias("url"))
+    return fetch(index, best_records(index, _ASKED, 10)).select("ord", "score", "title", _sites(spark, d).display_url(F.col("source_site"), F.col("page")).alias("url"))
 
 
 SQL["bm25_topk"] = _top_sql(_ASKED, 10) + f"select ord, score, title, {_BASE_SQL} as url from top join record using (ord)"
