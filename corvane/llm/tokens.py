@@ -1,78 +1,24 @@
-"""Token spans of whole Arrow string arrays, found with numpy on their UTF-8 bytes."""
+"""Words of texts in any script, beside the tokens of the core."""
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import cache
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from corvane.functions.spans import runs, utf8_bytes
+from corvane.functions.tokens import TEXT_BYTES, Tokens, coded, text_slices
+from corvane.functions.tokens import token_runs as tokenize
 
-#: A token is a longest run of these bytes in lower-cased text, of at least ``MIN_LENGTH``.
-TOKEN_BYTES = b"abcdefghijklmnopqrstuvwxyz0123456789_#-"
-MIN_LENGTH = 2
-#: Bytes of text whose tokens a task holds at once, about; a longer text is held whole.
-TEXT_BYTES = 1 << 22
-
-_IS_TOKEN = np.zeros(256, bool)
-_IS_TOKEN[np.frombuffer(TOKEN_BYTES, np.uint8)] = True
+__all__ = ["TEXT_BYTES", "Tokens", "text_slices", "tokenize", "unicode_words"]
 
 #: Han and Kana are written without spaces: each of these characters is a word.
 SINGLE = ((0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF))
 _LETTERS_END = 0x40000  # no letter, mark or number beyond, but for variation selectors
 
 
-@dataclass
-class Tokens:
-    """Tokens of a batch of texts, in text order."""
-
-    record: np.ndarray  #: for each token the number of its text in the batch
-    code: np.ndarray  #: for each token its number in ``dictionary``
-    dictionary: pa.Array  #: distinct tokens, in order of first occurrence
-    n_records: int
-
-
-def text_slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches with about ``limit`` bytes of text in a column; a longer text stands alone."""
-    for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(size, dtype=np.int64) // limit
-        edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
-        for start, end in pairwise(edges):
-            yield batch.slice(start, end - start)
-
-
-def tokenize(lowered: pa.Array) -> Tokens:
-    """Tokens of texts that are lower-cased already (Spark's ``lower`` does that)."""
-    data, offsets = utf8_bytes(lowered)
-    inside = _IS_TOKEN[data]
-    starts, ends = runs(inside, offsets)
-    length = ends - starts
-    long = length >= MIN_LENGTH
-    inside[starts[~long]] = False
-    return _coded(data[inside], starts[long], length[long], offsets)
-
-
-def _coded(inside: np.ndarray, starts: np.ndarray, length: np.ndarray, offsets: np.ndarray) -> Tokens:
-    """Tokens from the bytes of all of them together, and where each starts in the texts."""
-    at = np.zeros(len(starts) + 1, np.int64)
-    np.cumsum(length, out=at[1:])
-    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(inside.tobytes()))
-    coded = words.dictionary_encode()
-    return Tokens(
-        np.searchsorted(offsets, starts, side="right") - 1,
-        coded.indices.to_numpy(zero_copy_only=False).astype(np.int64),
-        coded.dictionary,
-        len(offsets) - 1,
-    )
-
-
 @cache
 def _kinds() -> np.ndarray:
     """For each code point: 1 inside a word, 2 a word of its own, 3 blank, else 0."""
@@ -124,4 +70,4 @@ def unicode_words(lowered: pa.Array) -> Tokens:
     in_words = np.flatnonzero(inside)
     first = np.flatnonzero(start[in_words])
     length = np.add.reduceat(width[in_words], first) if len(first) else np.zeros(0, np.int64)
-    return _coded(data[np.repeat(inside, width)], at[in_words[first]], length, offsets)
+    return coded(data[np.repeat(inside, width)], at[in_words[first]], length, offsets)
