@@ -43,7 +43,7 @@ GRAM_BYTES = GRAM_BITS // 8
 SKETCH_BITS = 256
 #: Columns are counted in hashed counters, one for so many entries of the matrix, of which
 #: there are at least and at most 2 to the power of these; a counter takes one byte.
-ENTRIES_PER_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 8, 16, 24
+ENTRIES_PER_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 16, 16, 24
 COUNTER_BLOCK = 1 << 16
 #: Entries of the matrix that one task multiplies, about.
 ENTRIES_PER_BLOCK = 4_000_000
@@ -182,8 +182,9 @@ def counters_for(entries: int) -> int:
 def column_counts(grams: DataFrame, log2: int) -> np.ndarray:
     """How many records hold an n-gram, by hashed counter, on a logarithmic scale of one byte.
 
-    Counts cover all records. Each task sums its own, one byte a counter and a list of
-    the larger ones; blocks of counters are then added up. The result is 16 MB at most.
+    Counts cover all records. Each task sums its own and sends those above 0, three bytes
+    each or one for every counter of a block, whichever is less, and a list of the larger
+    ones; blocks of counters are then added up. The result is 16 MB at most.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,22 +197,23 @@ def column_counts(grams: DataFrame, log2: int) -> np.ndarray:
             total[where] = np.minimum(total[where] + more, 2**32 - 1).astype(np.uint32)
         blocks = total.reshape(-1, COUNTER_BLOCK)
         for b in np.flatnonzero(blocks.any(axis=1)):
-            large = np.flatnonzero(blocks[b] > 255)
-            yield pa.record_batch(
-                [pa.array([b], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (np.minimum(blocks[b], 255).astype(np.uint8), large.astype(np.uint16), blocks[b][large] - 255))],
-                names=["block", "counts", "large", "beyond"],
-            )
+            used, large = np.flatnonzero(blocks[b]), np.flatnonzero(blocks[b] > 255)
+            counts = np.minimum(blocks[b], 255).astype(np.uint8)
+            few = 3 * len(used) < COUNTER_BLOCK
+            parts = (used.astype(np.uint16) if few else used[:0], counts[used] if few else counts, large.astype(np.uint16), blocks[b][large] - 255)
+            yield pa.record_batch([pa.array([b], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=["block", "used", "counts", "large", "beyond"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTER_BLOCK, np.int64)
         for batch in batches:
-            for counts, large, beyond in zip(batch.column("counts"), batch.column("large"), batch.column("beyond")):
-                total += np.frombuffer(counts.as_buffer(), np.uint8)
+            for used, counts, large, beyond in zip(*(batch.column(c) for c in ("used", "counts", "large", "beyond"))):
+                used, counts = np.frombuffer(used.as_buffer(), np.uint16), np.frombuffer(counts.as_buffer(), np.uint8)
+                total[used if len(counts) < COUNTER_BLOCK else slice(None)] += counts
                 total[np.frombuffer(large.as_buffer(), np.uint16)] += np.frombuffer(beyond.as_buffer(), np.uint32)
         level = np.minimum(np.rint(np.log2(total + 1.0) * 8), 255).astype(np.uint8)
         yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "counts"])
 
-    summed = grams.select("grams").mapInArrow(partial, "block int, counts binary, large binary, beyond binary").groupBy("block").applyInArrow(add, "block int, counts binary")
+    summed = grams.select("grams").mapInArrow(partial, "block int, used binary, counts binary, large binary, beyond binary").groupBy("block").applyInArrow(add, "block int, counts binary")
     levels = np.zeros(1 << log2, np.uint8)
     for row in summed.collect():  # 256 rows of 64 KB at most
         levels[row["block"] * COUNTER_BLOCK : (row["block"] + 1) * COUNTER_BLOCK] = np.frombuffer(row["counts"], np.uint8)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -34,3 +36,15 @@ def test_hot_columns_count_as_often_as_sent(spark, monkeypatch, held, hot_column
     sent = records.mapInArrow(entries(columns, 0.6, blocks), N.ENTRY_SCHEMA).groupBy("block").agg(F.sum(F.length("columns") / 4).alias("n")).toPandas()["n"]
     if hot_columns > 3:
         assert blocks == np.ceil(sent.sum() / 400) and sent.max() <= 800
+
+
+def test_counters(spark):
+    """Counts of all records, added up from several tasks, few and many a block."""
+    random.seed(6)
+    grams = [sorted(random.sample(range(40), random.randint(1, 30))) for _ in range(3000)] + [[k * 7 + 1000] for k in range(60_000)]
+    wide = [[g << (N.GRAM_BITS - 16) for g in x] for x in grams]
+    df = spark.createDataFrame([(bytearray(N.pack(np.array(x, np.uint64)).tobytes()),) for x in wide], "grams binary").repartition(3)
+    levels = N.column_counts(df, 16)
+    want = np.bincount(np.array([g % (1 << 16) for x in grams for g in x]), minlength=1 << 16)
+    assert (levels == np.minimum(np.rint(np.log2(want + 1.0) * 8), 255)).all() and want.max() > 255
+    assert N.counters_for(0) == 16 and N.counters_for(10**12) == N.MOST_COUNTERS
