@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import count_tokens
 from corvane.functions.tokens import text_slices, token_runs
+from corvane.sources.files import delete, exists, list_names, write_marker
 from corvane.sources.shared import materialize, shared_path
 
 # The ranking's parameters.
@@ -61,14 +62,19 @@ def raw_idf(n, df):
 
 
 def build_index(records: DataFrame, path: str | None = None, text: str = "md_text", key: str = "ord", cluster: int | None = None) -> Index:
-    """Compute the index once and write it below ``path`` (default: the shared folder).
+    """Compute the index once and write it as a new generation below ``path`` (default: the
+    shared folder). Its marker is written last, so that queries go on reading the
+    generation before until then; that one is kept for them, older ones are deleted.
 
     ``key`` must be unique; it breaks ties. Null texts count as records without tokens.
     Postings are laid out by term and records by ``ord``, so that a query reads the row
     groups of its terms, and then those of the records that it returns.
     """
     spark = records.sparkSession
-    path = path or shared_path(spark, "index")
+    root = path or shared_path(spark, "index")
+    kept = generations(spark, root)
+    path = f"{root}/g{(kept[-1] if kept else 0) + 1:08d}"
+    delete(spark, path)  # of a build that failed
     records = records.withColumn("ord", F.col(key)) if key != "ord" else records
     parts = cluster or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # written first where it is computed: a range exchange looks at its input twice
@@ -87,10 +93,25 @@ def build_index(records: DataFrame, path: str | None = None, text: str = "md_tex
     raw.select("term", "df", idf.alias("idf")).repartitionByRange(max(1, parts // 4), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
     stats = spark.range(1).select(F.lit(n).cast("bigint").alias("n"), F.lit(total / n if n else 0.0).alias("avgdl"), F.lit(float(avg_idf)).alias("avg_idf"))
     stats.write.mode("overwrite").parquet(f"{path}/corpus")
-    return load_index(spark, path)
+    write_marker(spark, f"{path}.current")
+    for old in kept[:-1]:
+        delete(spark, f"{root}/g{old:08d}.current")
+        delete(spark, f"{root}/g{old:08d}")
+    return load_index(spark, root)
+
+
+def generations(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the finished generations of an index, the current one last."""
+    names = list_names(spark, root) if exists(spark, root) else []
+    return sorted(int(n[1:-8]) for n in names if n.startswith("g") and n.endswith(".current"))
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
+    """The current generation of the index below ``path``."""
+    kept = generations(spark, path)
+    if not kept:
+        raise FileNotFoundError(f"no index in {path}")
+    path = f"{path}/g{kept[-1]:08d}"
     n, avgdl, avg_idf = spark.read.parquet(f"{path}/corpus").select("n", "avgdl", "avg_idf").first()
     records, docs, postings, terms = (spark.read.parquet(f"{path}/{t}") for t in ("records", "docs", "postings", "terms"))
     return Index(records, docs, postings, terms, n, avgdl, avg_idf)

@@ -13,7 +13,7 @@ from corvane.functions.html import headings, text_by_blank
 from corvane.functions.token_sizes import TOKENIZER, tokenizer
 from corvane.functions.urls import API_ALIASES, is_within, resolve
 from corvane.operators.chunking import Counter, by_chars
-from corvane.operators.index import Index, build_index, load_index
+from corvane.operators.index import Index, build_index, generations, load_index
 from corvane.operators.records import html_records
 from corvane.operators.search import search
 from corvane.operators.sections import docstring_records, markdown_records, union_records
@@ -136,7 +136,7 @@ class Engine:
     def search(self, query: str, k: object = 10, site: str | None = None, heading: str | None = None, keywords: str | None = None) -> DataFrame:
         """BM25 over the index; without one, substring counts over the first site's prebuilt
         search index, and without that over its pages."""
-        if self._index is not None or exists(self.spark, self.layout.index_path):
+        if self._index is not None or generations(self.spark, self.layout.index_path):
             return search(self.index, query, self.sites, k, site, heading, keywords)
         prebuilt = self._prebuilt()
         if prebuilt is not None:
@@ -203,7 +203,7 @@ class Engine:
     def validate(self) -> DataFrame:
         """Whether the index is there and can be read, and its size."""
         path = self.layout.index_path
-        present = exists(self.spark, path)
+        present = bool(generations(self.spark, path))
         size = file_stats(self.spark, path, "*.parquet").first()["bytes"] / MB
         try:
             records = load_index(self.spark, path).n if present else 0
@@ -215,7 +215,7 @@ class Engine:
     def mode(self) -> DataFrame:
         counts = {s.name: file_stats(self.spark, self.layout.html_roots.get(s.name, "/nonexistent"), "*.html").first()["files"] for s in self.sites.all}
         return self._row(
-            offline_only=True, data_dir=self.layout.data_dir, index_present=exists(self.spark, self.layout.index_path), html_files=counts, display_bases={s.name: s.local_base for s in self.sites.all}
+            offline_only=True, data_dir=self.layout.data_dir, index_present=bool(generations(self.spark, self.layout.index_path)), html_files=counts, display_bases={s.name: s.local_base for s in self.sites.all}
         )
 
     def status(self) -> DataFrame:

@@ -25,7 +25,7 @@ from corvane.schema import Sites
 from corvane.sources.files import count_jsonl, python_symbols, read_jsonl, write_jsonl
 from corvane.sources.shared import shared_path
 from corvane.sources.tables import spread, table
-from corvane.streaming.incremental import daily_counts, run_available, stream, term_count_stream
+from corvane.streaming.incremental import daily_counts, run_available, stream, term_count_stream, term_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -789,7 +789,9 @@ def _chunk_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_term_counts(spark: SparkSession, d: str) -> DataFrame:
-    return run_available(term_count_stream(_chunk_stream(spark, d)))
+    target = shared_path(spark, "term-counts")
+    term_count_stream(_chunk_stream(spark, d), target, shared_path(spark, "term-offsets")).awaitTermination()
+    return term_counts(spark, target)
 
 
 SQL["stream_term_counts"] = """

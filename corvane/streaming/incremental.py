@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 
 from corvane.functions.text import tokenize
 from corvane.operators.index import term_frequencies
-from corvane.sources.files import is_folder
+from corvane.sources.files import exists, is_folder
 from corvane.sources.shared import shared_path
 
 
@@ -24,9 +24,24 @@ def stream(spark: SparkSession, folder: str, schema: StructType, form: str = "pa
     return reader.option("pathGlobFilter", only).load(folder)
 
 
-def term_count_stream(records: DataFrame, text: str = "md_text") -> DataFrame:
-    """Occurrences of every term so far; the state holds one row a term."""
-    return records.select(F.explode(tokenize(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("occurrences"))
+def term_count_stream(records: DataFrame, target: str, offsets: str, text: str = "md_text") -> StreamingQuery:
+    """Count the terms of arriving records: each batch writes its own counts below ``target``,
+    in a folder of its own, so one that is repeated is counted once. No state is kept and
+    nothing is written twice; ``term_counts`` adds the batches up."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        terms = batch.select(F.explode(tokenize(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("occurrences"))
+        terms.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return records.writeStream.foreachBatch(write).option("checkpointLocation", offsets).trigger(availableNow=True).start()
+
+
+def term_counts(spark: SparkSession, target: str) -> DataFrame:
+    """Occurrences of every term in all batches so far."""
+    if not exists(spark, target):
+        return spark.createDataFrame([], "term string, occurrences bigint")
+    batches = spark.read.schema("term string, occurrences bigint").option("recursiveFileLookup", True).parquet(target)
+    return batches.groupBy("term").agg(F.sum("occurrences").alias("occurrences"))
 
 
 def daily_counts(records: DataFrame, time: str = "loaded_at", late: str = "7 days") -> DataFrame:

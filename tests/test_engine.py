@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from corvane.__main__ import main
 from corvane.functions.urls import api_address, api_url, is_denied, is_within, page_file, resolve
 from corvane.operators.chunking import by_chars
+from corvane.operators.index import generations
 from corvane.plans.engine import Engine, Layout
 from corvane.schema import RECORD_COLUMNS, Site, Sites
-from corvane.sources.files import count_jsonl, file_stats, python_symbols, read_html, read_jsonl, read_markdown, read_python_symbols, read_search_index, write_jsonl
-from corvane.streaming.incremental import append_postings, daily_counts, run_available, stream, term_count_stream
+from corvane.sources.files import count_jsonl, delete, file_stats, python_symbols, read_html, read_jsonl, read_markdown, read_python_symbols, read_search_index, write_jsonl
+from corvane.streaming.incremental import append_postings, daily_counts, run_available, stream, term_count_stream, term_counts
 
 SITES = Sites((Site("alpha", "https://a.example/latest"), Site("alpha_two", "https://b.example")))
 
@@ -71,6 +72,12 @@ def test_engine(spark, tree):
         engine.get("missing.html")
     with pytest.raises(PySparkException, match="denied"):
         engine.get("https://evil.example/x").collect()
+    assert generations(spark, engine.layout.index_path) == [1, 2]
+    old = engine.index
+    engine.rebuild(), engine.rebuild()
+    assert generations(spark, engine.layout.index_path) == [3, 4] and engine.index.n == old.n
+    delete(spark, f"{engine.layout.index_path}/g00000004.current")  # a build that didn't come to its end
+    assert engine.rebuild().first()["success"] and generations(spark, engine.layout.index_path) == [3, 4]
     assert engine.clean() == 0 and engine.clean(force=True) == 3 and not engine.validate().first()["valid"]
 
 
@@ -185,8 +192,12 @@ def test_streams(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame([(k, f"cache item{k} cache", None)], schema).withColumn("loaded_at", F.expr(f"timestamp'2025-01-0{k + 1} 10:00:00'")).write.parquet(str(tmp_path / "in" / f"f{k}"))
     source = lambda: stream(spark, str(tmp_path / "in" / "*"), spark.read.parquet(str(tmp_path / "in" / "f0")).schema, files_per_batch=1)
-    counts = {r["term"]: r["occurrences"] for r in run_available(term_count_stream(source())).collect()}
-    assert counts == {"cache": 6, "item0": 1, "item1": 1, "item2": 1}
+    target = str(tmp_path / "counts")
+    assert term_counts(spark, target).count() == 0
+    for _ in range(2):  # the second time nothing is new
+        term_count_stream(source(), target, str(tmp_path / "count-offsets")).awaitTermination()
+        counts = {r["term"]: r["occurrences"] for r in term_counts(spark, target).collect()}
+        assert counts == {"cache": 6, "item0": 1, "item1": 1, "item2": 1}
     assert [r["n"] for r in run_available(daily_counts(source())).collect()] == [1, 1, 1]
     append_postings(source(), str(tmp_path / "index"), str(tmp_path / "offsets")).awaitTermination()
     append_postings(source(), str(tmp_path / "index"), str(tmp_path / "offsets")).awaitTermination()  # nothing new
