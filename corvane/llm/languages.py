@@ -397,11 +397,14 @@ def fit(texts: list[str], labels: list[str], languages: tuple[str, ...] = LANGUA
 
 
 def labelled_sample(df: DataFrame, text: str, lang: str, id_column: str, documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
-    """At most ``documents`` texts of each label, those of the least hash of their id."""
-    labelled = df.select(F.col(text).alias("text"), label_code(F.col(lang)).alias("label"), F.xxhash64(id_column).alias("_h"), F.col(id_column).alias("_id"))
-    window = Window.partitionBy("label").orderBy("_h", "_id")
-    usable = labelled.filter("label is not null and text is not null and length(text) between 1 and 20000")
-    return usable.withColumn("_k", F.row_number().over(window)).filter(F.col("_k") <= documents).select("text", "label")
+    """At most ``documents`` texts of each label, those of the least hash of their id. Only ids
+    and hashes are ranked; the texts chosen, a bounded number, are fetched where they lie."""
+    labelled = df.select(F.col(id_column).alias("_id"), label_code(F.col(lang)).alias("label"), F.xxhash64(id_column).alias("_h"), F.xxhash64(text).alias("_t"), F.col(text).alias("text"))
+    usable = labelled.filter("_id is not null and label is not null and text is not null and length(text) between 1 and 20000")
+    keys = ["_id", "label", "_h", "_t"]
+    window = Window.partitionBy("label").orderBy("_h", "_id", "_t")
+    chosen = usable.select(keys).distinct().withColumn("_k", F.row_number().over(window)).filter(F.col("_k") <= documents).drop("_k")
+    return usable.join(F.broadcast(chosen), keys, "left_semi").dropDuplicates(keys).select("text", "label")  # documents of each of LANGUAGES
 
 
 def fit_on(df: DataFrame, text: str, lang: str, id_column: str, languages: tuple[str, ...] = LANGUAGES, path: str = VOCABULARY) -> Model:
