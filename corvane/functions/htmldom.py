@@ -114,19 +114,28 @@ def parse(html: str | None) -> Node:
 
 _BOILERPLATE = compiled(BOILERPLATE)
 _MAIN_CONTENT = [compiled([s]) for s in MAIN_CONTENT]
+#: Tags that any of these can match.
+_MAIN_TAGS = {tag for rules in _MAIN_CONTENT for tag in rules if tag}
 
 
 def without_boilerplate(root: Node) -> Node:
-    """Drop navigation and the like, keep only the main content if there is one."""
+    """Drop navigation and the like, keep only the main content if there is one: the first
+    element of the most preferred kind that occurs."""
     _prune(root)
-    nodes = list(root.walk())
-    for rules in _MAIN_CONTENT:
-        main = next((n for n in nodes if n.matches(rules)), None)
-        if main is not None:
-            top = Node("", {}, None)
-            top.children.append(main)
-            return top
-    return root
+    main, preferred = None, len(_MAIN_CONTENT)
+    for node in root.walk():
+        if node.tag not in _MAIN_TAGS:
+            continue
+        rank = next((k for k in range(preferred) if node.matches(_MAIN_CONTENT[k])), preferred)
+        if rank < preferred:
+            main, preferred = node, rank
+        if not preferred:
+            break
+    if main is None:
+        return root
+    top = Node("", {}, None)
+    top.children.append(main)
+    return top
 
 
 def _prune(node: Node) -> None:

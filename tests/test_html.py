@@ -88,3 +88,11 @@ def test_records_and_views(spark):
     assert all(not r["truncated"] for r in page_views(views, SITES, -1).collect())
     section = {r["path"]: r for r in section_views(views, SITES, F.lit("one")).collect()}["a/b.html"]
     assert section["url"] == "local://alpha/a/b.html#one" and section["section"].startswith("One\nalpha\nDeep\nbeta") and not section["truncated"]
+
+
+def test_the_most_preferred_main_content_wins():
+    page = "<div class='md-content'>c</div><article>a</article><main>m1</main><main>m2</main><main role='main'>r1</main><main role='main'>r2</main>"
+    for want in ("r1", "m1", "c", "a"):
+        assert H.without_boilerplate(H.parse(page)).text() == want
+        page = page.replace("<main role='main'>r1</main><main role='main'>r2</main>", "") if want == "r1" else page.replace("<main>m1</main><main>m2</main>", "") if want == "m1" else page.replace("<div class='md-content'>c</div>", "")
+    assert H.without_boilerplate(H.parse("<p>x</p><nav>n</nav>")).text() == "x"
