@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WS = r"[\s\x1c-\x1f]"
+#: the same, within a line
+BLANK = r"[\s\x1c-\x1f&&[^\n]]"
 
 # Patterns and limits that results depend on.
 TOKEN = "[a-z0-9_#-]{2,}"
@@ -89,19 +91,13 @@ def normalize_text(c: Column) -> Column:
 
 def drop_admonitions(doc: Column) -> Column:
     """Leave out `!!!` and `???` blocks (with what follows blank or indented), keep at most
-    two blank lines together, strip. A fold over the lines; null gives ''."""
-    state = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("skip"))
-
-    def step(s: Column, line: Column) -> Column:
-        bare = strip(line)
-        starts = bare.startswith("!!!") | bare.startswith("???")
-        inside = s["skip"] & ((bare == "") | line.startswith("    ") | line.startswith("\t"))
-        return F.when(starts | inside, F.struct(s["kept"].alias("kept"), F.lit(True).alias("skip"))).otherwise(
-            F.struct(F.array_append(s["kept"], line).alias("kept"), F.lit(False).alias("skip"))
-        )
-
-    folded = F.aggregate(F.split(F.coalesce(doc, F.lit("")), "\n"), state, step, lambda s: F.concat_ws("\n", s["kept"]))
-    return strip(F.regexp_replace(folded, "\n{4,}", "\n\n\n"))
+    two blank lines together, strip. Possessive, so that long blocks are matched in one
+    pass; null gives ''."""
+    blank = f"{BLANK}*+"
+    line, end = "[^\n]*+", "(?![^\n])"
+    block = rf"(?U)(?:\A|\n){blank}(?:!!!|\?\?\?){line}(?:\n(?:(?: {{4}}|\t){line}|{blank}{end}))*+"
+    kept = F.regexp_replace(F.coalesce(doc, F.lit("")), block, "")
+    return strip(F.regexp_replace(kept, "\n{4,}", "\n\n\n"))
 
 
 def slug(c: Column) -> Column:

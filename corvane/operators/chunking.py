@@ -36,18 +36,19 @@ def greedy(text: Column, limit: int, counter: Counter, separator: str = "\n\n")
     """Paragraphs put together while their counts (separators not counted) stay within the
     limit; a paragraph above it stays whole."""
     paragraphs = F.split(text, separator.replace("\n", "\\n"))
-    sized = F.zip_with(paragraphs, counter.many(paragraphs), lambda p, n: F.struct(p.alias("p"), n.cast("int").alias("n")))
-    empty = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n"))
-
-    def add(s: Column, x: Column) -> Column:
-        full = (s["n"] + x["n"] > limit) & (F.size(s["cur"]) > 0)
-        return F.struct(
-            F.when(full, F.array_append(s["out"], F.concat_ws(separator, s["cur"]))).otherwise(s["out"]).alias("out"),
-            F.when(full, F.array(x["p"])).otherwise(F.array_append(s["cur"], x["p"])).alias("cur"),
-            F.when(full, x["n"]).otherwise(s["n"] + x["n"]).alias("n"),
-        )
-
-    return F.aggregate(sized, empty, add, lambda s: F.when(F.size(s["cur"]) > 0, F.array_append(s["out"], F.concat_ws(separator, s["cur"]))).otherwise(s["out"]))
+    # the state holds where chunks begin, not their text, so that no step copies paragraphs
+    none = F.struct(paragraphs.alias("p"), F.array().cast("array<int>").alias("starts"), F.lit(0).alias("k"), F.lit(0).alias("n"))
+
+    def add(s: Column, n: Column) -> Column:
+        opens = (F.size(s["starts"]) == 0) | (s["n"] + n > limit)
+        starts = F.when(opens, F.array_append(s["starts"], s["k"])).otherwise(s["starts"])
+        return F.struct(s["p"].alias("p"), starts.alias("starts"), (s["k"] + 1).alias("k"), F.when(opens, n).otherwise(s["n"] + n).alias("n"))
+
+    def join(s: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(s["starts"], i + 1), s["k"])
+        return F.transform(s["starts"], lambda start, i: F.concat_ws(separator, F.slice(s["p"], start + 1, end(i) - start)))
+
+    return F.aggregate(F.transform(counter.many(paragraphs), lambda n: n.cast("int")), none, add, join)
 
 
 def chunk_markdown(text: Column, limit: int = MAX_TOKENS, counter: Counter = by_chars, separator: str = "\n\n") -> Column:

@@ -101,6 +101,8 @@ def test_chunking(spark):
     assert one(spark, None, lambda c: chunk_markdown(c)) == [""]
     assert one(spark, "x" * 10000, lambda c: slices(c)) == ["x" * 4800, "x" * 4800, "x" * 400]
     assert one(spark, "x" * 9000 + "\n\n" + "y", lambda c: chunk_text(c)) == ["x" * 9000, "y"]
+    many = [f"{k} and" for k in range(30_000)]
+    assert one(spark, "\n\n".join(many), lambda c: chunk_text(c, 25, by_words)) == ["\n\n".join(many[k : k + 12]) for k in range(0, len(many), 12)]
 
 
 def test_sections(spark):

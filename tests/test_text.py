@@ -94,3 +94,8 @@ def test_truncation(spark):
 
 def test_admonition(spark):
     assert column(spark, ["First.\n\n!!! note\n    body\n\n    more\nRest", "a" + "\n" * 6 + "b", ""], X.drop_admonitions) == ["First.\n\nRest", "a\n\n\nb", ""]
+
+
+def test_admonition_of_many_lines(spark):
+    inside = "!!! note\n" + "    body\n\n" * 50_000
+    assert column(spark, [f"First\n{inside}Rest", inside, "a\n" * 50_000 + "!!! x"], X.drop_admonitions) == ["First\nRest", "", ("a\n" * 50_000).strip()]
