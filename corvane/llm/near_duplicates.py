@@ -60,6 +60,8 @@ SUB_BLOCK = 4096
 HOT_COLUMNS = 1_000_000
 #: Copies of one set beyond which its records are joined by a broadcast of their own.
 HOT_CLASS = 100_000
+#: Copies of one set that one task expands into pairs, about.
+CLASS_SLICE = 4096
 
 _EPS = 1e-9
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -458,8 +460,11 @@ class NearDuplicates:
         narrow = self.grams.select("id", *sets)
         equal, n_equal = measured(narrow.groupBy(*sets).agg(F.min("id").alias("class_id"), F.count("*").alias("copies")).filter("copies > 1"), "classes")
         members = join_weighted(narrow, equal, n_equal, sets, F.col("copies") > HOT_CLASS)
-        #: class_id and id of every record of a class of more than one
-        self.copies, self.n_copies = measured(members.select("class_id", "id"), "copies")
+        self.n_classes = n_equal
+        #: class_id and id of every record of a class of more than one, and in which of the class's slices it is
+        slices = F.ceil(F.col("copies") / CLASS_SLICE).cast("int")
+        members = members.select("class_id", "id", F.pmod(F.xxhash64("id"), slices).cast("int").alias("slice"), slices.alias("slices"))
+        self.copies, self.n_copies = measured(members, "copies")
 
     def links(self) -> DataFrame:
         """Pairs (a, b), a < b, of class representatives that are alike, and their similarity."""
@@ -501,11 +506,16 @@ class NearDuplicates:
         return sc.broadcast(columns), sent + int((each * (columns.shares - 1)).sum())
 
     def pairs(self, links: DataFrame | None = None) -> DataFrame:
-        """All pairs (a, b), a < b, of records that are alike, copies included."""
+        """All pairs (a, b), a < b, of records that are alike, copies included. The members of
+        a class are joined slice by slice, so that a class of very many copies is spread over tasks."""
         links = (links if links is not None else self.links()).select("a", "b")
-        member = self.copies.select(F.col("class_id"), F.col("id"))
+        each_slice = F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))
+        classes, member = self.copies.filter("id = class_id").select("class_id", "slices"), self.copies.select("class_id", "id", "slice")
         for side in ("a", "b"):
-            links = links.join(member.withColumnRenamed("class_id", side), side, "left").withColumn(side, F.coalesce("id", side)).drop("id")
+            links = join_measured(links, classes.withColumnRenamed("class_id", side), self.n_classes, [side], "left").withColumn("slice", each_slice)
+            links = links.join(member.withColumnRenamed("class_id", side), [side, "slice"], "left").filter("id is not null or slices is null")
+            links = links.withColumn(side, F.coalesce("id", side)).drop("id", "slice", "slices")
         between = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        within = member.withColumnRenamed("id", "a").join(member.withColumnRenamed("id", "b"), "class_id").filter("a < b").select("a", "b")
+        others = self.copies.select("class_id", F.col("id").alias("b"), each_slice.alias("slice"))
+        within = member.withColumnRenamed("id", "a").join(others, ["class_id", "slice"]).filter("a < b").select("a", "b")
         return between.unionByName(within)

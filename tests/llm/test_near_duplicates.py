@@ -60,6 +60,7 @@ def test_against_brute_force(spark, monkeypatch, size, threshold, least, small_b
 def test_hot_group(spark, monkeypatch):
     """A third of all rows are copies, another third differ in one word each."""
     monkeypatch.setattr(N, "SUB_BLOCK", 16)
+    monkeypatch.setattr(N, "CLASS_SLICE", 7)
     base = " ".join(f"b{k}" for k in range(60))
     rows = [(k, base) for k in range(60)] + [(100 + k, f"{base} unique{k}") for k in range(60)] + [(300 + k, t) for k, t in enumerate(corpus(9, 60))]
     found = N.NearDuplicates(spark.createDataFrame(rows, "i long, t string"), "i", "t", 3, 0.6, 20)
