@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import islice
 
 # Boilerplate, and where the main content is, in order of preference.
 BOILERPLATE = [
@@ -155,12 +156,15 @@ def sections(root: Node) -> list[tuple[str | None, str, int, list[Node | str]]]:
     """(anchor, title, level, content) of every h1 to h3 with an id: the elements after it
     up to the next heading of its level or above. Without any, one row for the whole text."""
     found = []
+    places: dict[int, dict[int, int]] = {}
     for node in root.walk():
         if not (1 <= node.heading_level <= 3 and node.attrs.get("id")):
             continue
         siblings = node.parent.children
+        if id(node.parent) not in places:
+            places[id(node.parent)] = {id(c): k for k, c in enumerate(siblings)}
         content: list[Node | str] = []
-        for other in siblings[siblings.index(node) + 1 :]:
+        for other in islice(siblings, places[id(node.parent)][id(node)] + 1, None):
             if isinstance(other, str):
                 continue
             if 0 < other.heading_level <= node.heading_level:
@@ -193,6 +197,7 @@ def markdown(content: list[Node | str]) -> str:
     """Markdown of a fragment, with `#` headings, however deep its elements are nested."""
     # an element, what is left of its content, its Markdown so far, its cells
     stack: list[tuple[Node | None, Iterator[Node | str], list[str], list[str]]] = [(None, iter(content), [], [])]
+    numbers: dict[int, dict[int, int]] = {}
     while True:
         node, rest, out, cells = stack[-1]
         x = next(rest, None)
@@ -201,7 +206,7 @@ def markdown(content: list[Node | str]) -> str:
             inner = "".join(out)
             if node is None:
                 return inner
-            stack[-1][2].append(_marked_up(node, inner, cells))
+            stack[-1][2].append(_marked_up(node, inner, cells, numbers))
             if node.tag in ("td", "th"):
                 stack[-1][3].append(" ".join(inner.split()))
         elif isinstance(x, str):
@@ -212,7 +217,15 @@ def markdown(content: list[Node | str]) -> str:
             stack.append((x, iter(x.children), [], []))
 
 
-def _marked_up(x: Node, inner: str, cells: list[str]) -> str:
+def _number(item: Node, numbers: dict[int, dict[int, int]]) -> int:
+    """The number of an item in its ordered list; ``numbers`` keeps those of lists seen before."""
+    if id(item.parent) not in numbers:
+        items = (c for c in item.parent.children if isinstance(c, Node) and c.tag == "li")
+        numbers[id(item.parent)] = {id(c): k for k, c in enumerate(items, 1)}
+    return numbers[id(item.parent)][id(item)]
+
+
+def _marked_up(x: Node, inner: str, cells: list[str], numbers: dict[int, dict[int, int]]) -> str:
     """Markdown of one element, from that of its content."""
     if x.heading_level:
         return f"\n\n{'#' * x.heading_level} {' '.join(inner.split())}\n\n"
@@ -228,8 +241,7 @@ def _marked_up(x: Node, inner: str, cells: list[str]) -> str:
         return "\n\n---\n\n"
     if x.tag == "li":
         ordered = x.parent is not None and x.parent.tag == "ol"
-        number = 1 + sum(isinstance(c, Node) and c.tag == "li" for c in x.parent.children[: x.parent.children.index(x)]) if ordered else 0
-        return f"\n{f'{number}.' if ordered else '*'} {inner.strip()}"
+        return f"\n{f'{_number(x, numbers)}.' if ordered else '*'} {inner.strip()}"
     if x.tag == "blockquote":
         return "\n\n" + "\n".join(f"> {line}" for line in inner.strip().split("\n")) + "\n\n"
     if x.tag == "tr":

@@ -624,11 +624,19 @@ def _escaped(c: str) -> F.Column:
     return text
 
 
+#: What stands on each page below its text: a list, a table, code, a menu, a heading of the third level.
+_TAIL = (
+    "<div><ol><li>One</li><li><b>Two</b> of %ord%</li></ol><table><tr><th>Key</th><th>Value</th></tr><tr><td>ord</td><td>%ord%</td></tr></table>"
+    "<pre>x = %ord%</pre><nav>Inner menu</nav></div><h3 id='deep'>Deep %ord%</h3><p>Below <em>more</em>.</p>"
+)
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    """A page for each chunk: navigation, a heading, the text, another heading, a footer."""
+    """A page for each chunk: navigation, a heading, the text, another heading, ``_TAIL``, a footer."""
     html = F.concat(
         F.lit("<!doctype html><html><head><style>p { x: y }</style></head><body><nav>Menu</nav><main role='main'><h1 id='top'>"), _escaped("title"),
-        F.lit("</h1><p>"), _escaped("md_text"), F.lit("</p><h2 id='more'>More</h2><p>See <a href='#top'>above</a>.</p></main><footer>End</footer></body></html>"),
+        F.lit("</h1><p>"), _escaped("md_text"), F.lit("</p><h2 id='more'>More</h2><p>See <a href='#top'>above</a>.</p>"),
+        F.replace(F.lit(_TAIL), F.lit("%ord%"), F.col("ord").cast("string")), F.lit("</main><footer>End</footer></body></html>"),
     )
     site = F.when(F.col("source_site").isin([s.name for s in _sites(spark, d).all]), F.col("source_site")).otherwise(_sites(spark, d).first.name)
     return _records(spark, d).select("ord", site.alias("site"), F.format_string("p/%s.html", "ord").alias("rel"), html.alias("html"))
@@ -640,7 +648,7 @@ def html_main_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PLAIN_SQL = r"trim(regexp_replace({0}, '[\s\x{{a0}}\x{{85}}\x{{2028}}\x{{3000}}]+', ' ', 'g'))"
-SQL["html_main_text"] = _RECORDS_SQL + "select ord, " + _PLAIN_SQL.format("coalesce(title, '') || ' ' || coalesce(md_text, '') || ' More See above .'") + " as text from record"
+SQL["html_main_text"] = _RECORDS_SQL + "select ord, " + _PLAIN_SQL.format("coalesce(title, '') || ' ' || coalesce(md_text, '') || ' More See above . One Two of ' || ord || ' Key Value ord ' || ord || ' x = ' || ord || ' Deep ' || ord || ' Below more .'") + " as text from record"
 
 
 @query
@@ -649,7 +657,7 @@ def html_page_headings(spark: SparkSession, d: str) -> DataFrame:
     return found.select("ord", "pos", "h.anchor", collapse(F.col("h.title")).alias("title"))
 
 
-SQL["html_page_headings"] = _RECORDS_SQL + "select ord, 0::int as pos, 'top' as anchor, " + _PLAIN_SQL.format("coalesce(title, '')") + " as title from record union all select ord, 1::int, 'more', 'More' from record"
+SQL["html_page_headings"] = _RECORDS_SQL + "select ord, 0::int as pos, 'top' as anchor, " + _PLAIN_SQL.format("coalesce(title, '')") + " as title from record union all select ord, 1::int, 'more', 'More' from record union all select ord, 2::int, 'deep', 'Deep ' || ord from record"
 
 
 @query
@@ -690,15 +698,22 @@ _FIRST_SITE_SQL = "(source_site is null or source_site not in (select repo_name
 _LOCAL_FIRST_SQL = "(select 'local://' || replace(min(repo_name), '_', '-') || '/' from repo_config)"
 _LOCAL_SQL = f"case when {_FIRST_SITE_SQL} then {_LOCAL_FIRST_SQL} else 'local://' || replace(source_site, '_', '-') || '/' end"
 _STRIP_SQL = "trim(coalesce({0}, ''), " + _WS_SQL + ")"
-_SECTION_SQL = f"substring(concat_ws(chr(10), nullif({_STRIP_SQL.format('title')}, ''), nullif({_STRIP_SQL.format('md_text')}, ''), 'More', 'See above .', 'above', 'End'), 1, 4000)"
+_LIST_SQL, _TABLE_SQL = "'One Two of ' || ord", "'Key Value ord ' || ord"
+_NESTED_SQL = f"""{_LIST_SQL} || ' ' || {_TABLE_SQL} || ' x = ' || ord || ' Inner menu', {_LIST_SQL}, 'One', 'Two of ' || ord, 'Two', {_TABLE_SQL},
+  'Key Value', 'Key', 'Value', 'ord ' || ord, 'ord', ord::varchar, 'x = ' || ord, 'Inner menu', 'Deep ' || ord, 'Below more .', 'more'"""
+_SECTION_SQL = f"substring(concat_ws(chr(10), nullif({_STRIP_SQL.format('title')}, ''), nullif({_STRIP_SQL.format('md_text')}, ''), 'More', 'See above .', 'above', {_NESTED_SQL}, 'End'), 1, 4000)"
 _NOISE_SQL = r"""trim(regexp_replace(translate(
     regexp_replace(regexp_replace(regexp_replace({0}, '(?s)`{{3,}}.*?`{{3,}}', ' ', 'g'), '(?m)^\s*\|.*\|\s*$', ' ', 'g'), '(^|\s)(\d{{1,4}}\s+){{5,}}\d{{1,4}}(\s|$)', ' ', 'g'),
     '|`', '  '), '[\s\x{{a0}}\x{{85}}\x{{2028}}\x{{3000}}]+', ' ', 'g'))"""
 _BREAK = "chr(10) || chr(10)"
-_BODY_SQL = f"{_BREAK} || coalesce(md_text, '') || {_BREAK} || {_BREAK} || '## More' || {_BREAK} || {_BREAK} || 'See [above](#top).' || {_BREAK}"
+_DEEP_SQL = f"'Below *more*.' || {_BREAK}"
+_MORE_SQL = f"""'See [above](#top).' || {_BREAK} || '1. One' || chr(10) || '2. **Two** of ' || ord || {_BREAK} || '| Key | Value |' || {_BREAK} || '| ord | ' || ord || ' |' || {_BREAK}
+  || repeat('`', 3) || chr(10) || 'x = ' || ord || chr(10) || repeat('`', 3) || {_BREAK} || '### Deep ' || ord || {_BREAK} || {_DEEP_SQL}"""
+_BODY_SQL = f"{_BREAK} || coalesce(md_text, '') || {_BREAK} || {_BREAK} || '## More' || {_BREAK} || {_BREAK} || {_MORE_SQL}"
 _PAGE_SECTIONS_SQL = _RECORDS_SQL + f""", section as (
   select *, 0::int as pos, 'top' as id, 1::int as level, {_STRIP_SQL.format('title')} as heading, {_NOISE_SQL.format(_BODY_SQL)} as markdown from record
-  union all select *, 1::int, 'more', 2::int, 'More', 'See [above](#top).' from record
+  union all select *, 1::int, 'more', 2::int, 'More', {_NOISE_SQL.format(_MORE_SQL)} from record
+  union all select *, 2::int, 'deep', 3::int, 'Deep ' || ord, {_NOISE_SQL.format(_DEEP_SQL)} from record
 )"""
 
 SQL["html_page_sections"] = _PAGE_SECTIONS_SQL + "select ord, pos, id as anchor, level, markdown from section"
@@ -712,9 +727,10 @@ SQL["html_page_markdown"] = _RECORDS_SQL + f"""
 select case when {_FIRST_SITE_SQL} then (select min(repo_name) from repo_config) else source_site end || '-p_' || ord || '.md' as name,
   {_NOISE_SQL.format(f"'# ' || coalesce(title, '') || {_BREAK} || {_BODY_SQL}")} as markdown from record"""
 
-_HTML_SQL = "'<!doctype html><html><head><style>p { x: y }</style></head><body><nav>Menu</nav><main role=''main''><h1 id=''top''>' || {0} || '</h1><p>' || {1} || '</p><h2 id=''more''>More</h2><p>See <a href=''#top''>above</a>.</p></main><footer>End</footer></body></html>'"
+_HTML_SQL = "'<!doctype html><html><head><style>p { x: y }</style></head><body><nav>Menu</nav><main role=''main''><h1 id=''top''>' || {0} || '</h1><p>' || {1} || '</p><h2 id=''more''>More</h2><p>See <a href=''#top''>above</a>.</p>' || replace('" + _TAIL.replace("'", "''") + "', '%ord%', ord::varchar) || '</main><footer>End</footer></body></html>'"
 _ESCAPED_SQL = "replace(replace(replace(replace(coalesce({0}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
-_PAGE_TEXT_SQL = "concat_ws(chr(10), 'Menu', nullif(title, ''), nullif(md_text, ''), 'More', 'See ', 'above', '.', 'End')"
+_PAGE_TEXT_SQL = """concat_ws(chr(10), 'Menu', nullif(title, ''), nullif(md_text, ''), 'More', 'See ', 'above', '.', 'One', 'Two', 'of ' || ord, 'Key', 'Value', 'ord', ord,
+  'x = ' || ord, 'Inner menu', 'Deep ' || ord, 'Below', 'more', '.', 'End')"""
 SQL["page_views_cut"] = SQL["normalize_chunks"].replace("coalesce(md_text, '')", _PAGE_TEXT_SQL).replace("\nselect ord, trim(", ", viewed as (select ord, trim(", 1).replace(
     " as text from tidy", f""" as t from tidy), page as (select ord, {_LOCAL_SQL} as base, {_HTML_SQL.replace('{ x: y }', '{{ x: y }}').format(_ESCAPED_SQL.format('title'), _ESCAPED_SQL.format('md_text'))} as h from record)
 select base || 'p/' || ord || '.html' as url, 'p/' || ord || '.html' as path, case when length(t) > 300 then substring(t, 1, 300) || chr(10) || chr(10) || '[... truncated ...]' else t end as text,
