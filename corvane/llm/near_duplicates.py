@@ -377,23 +377,27 @@ def _multiply(threshold: float):
                 ids = np.frombuffer(row[0].as_buffer(), np.int64)
                 columns = np.frombuffer(row[3].as_buffer(), np.uint32)
                 owners = np.frombuffer(row[4].as_buffer(), np.uint16)
-                for k, x in enumerate((ids, np.frombuffer(row[1].as_buffer(), np.int32), np.frombuffer(row[2].as_buffer(), np.uint64).reshape(len(ids), -1), columns, owners.astype(np.int64) + seen, np.frombuffer(row[5].as_buffer(), np.uint8))):
+                for k, x in enumerate((ids, np.frombuffer(row[1].as_buffer(), np.int32), np.frombuffer(row[2].as_buffer(), np.uint64).reshape(len(ids), -1), columns, (owners + np.int64(seen)).astype(np.int32), np.frombuffer(row[5].as_buffer(), np.uint8))):
                     got[k].append(x)
                 seen += len(ids)
         if not seen:
             return
-        ids, sizes, sketches, columns, owners, parts = (np.concatenate(x) for x in got)
-        sizes = sizes.astype(np.int64)
+        # a part at a time, so that what was received is let go; places and sizes are 32 bits wide
+        parts, owners, columns, sketches, sizes, ids = (np.concatenate(got.pop()) for _ in range(6))
         order = np.argsort((columns.astype(np.uint64) << np.uint64(32)) | sizes[owners].astype(np.uint64))
         columns, owners, parts = columns[order], owners[order], parts[order]
+        del order
         n = sizes[owners]
-        place = parts.astype(np.int64) * n // 256
-        ends = np.searchsorted(columns, columns, side="right")
-        small = np.flatnonzero(place <= n - np.ceil(2 * threshold / (1 + threshold) * n - _EPS))  # what the smaller record must show
+        place = (parts.astype(np.int64) * n // 256).astype(np.int32)
+        first = np.flatnonzero(np.append(True, columns[1:] != columns[:-1]))
+        run = np.diff(np.append(first, len(columns)))
+        ends = np.repeat((first + run).astype(np.int32), run)
+        del columns, parts, first, run
+        small = np.flatnonzero(place <= n - np.ceil(2 * threshold / (1 + threshold) * n - _EPS)).astype(np.int32)  # what the smaller record must show
         step, pairs, held = 0, [], 0
         while True:
             step += 1
-            small = small[small + step < ends[small]]
+            small = small[small < ends[small] - step]
             if not len(small):
                 break
             large = small + step
@@ -408,7 +412,8 @@ def _multiply(threshold: float):
                 apart = np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1, dtype=np.int64)
                 k = apart <= sizes[i] + sizes[j] - 2 * least
                 if k.any():
-                    pairs.append(np.minimum(i[k], j[k]) * len(ids) + np.maximum(i[k], j[k]))
+                    i, j = i[k].astype(np.int64), j[k].astype(np.int64)
+                    pairs.append(np.minimum(i, j) * len(ids) + np.maximum(i, j))
                     held += int(k.sum())
             if held > most:  # what comes again is dropped after the exchange
                 yield from _as_batches(pairs, ids)
