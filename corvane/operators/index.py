@@ -61,6 +61,27 @@ def raw_idf(n, df):
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
+def weighted_terms(frequencies: DataFrame, n: int, path: str) -> tuple[DataFrame, float]:
+    """``term, df, idf`` of ``n`` records, and the average raw idf; written to ``path`` between."""
+    terms = frequencies.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", raw_idf(F.lit(n), F.col("df")))
+    terms.write.mode("overwrite").parquet(path)
+    raw = frequencies.sparkSession.read.parquet(path)
+    avg_idf = raw.agg(F.avg("raw")).first()[0] or 0.0
+    idf = F.when(F.col("raw") >= 0, F.col("raw")).otherwise(EPSILON * avg_idf)
+    return raw.select("term", "df", idf.alias("idf")), avg_idf
+
+
+def scan_index(records: DataFrame, text: str = "md_text", key: str = "ord") -> Index:
+    """The index for one use that reads all postings: they stay in the order in which records
+    are read, and ``records`` and ``docs`` are not stored. No text is shuffled or written."""
+    spark = records.sparkSession
+    records = records.withColumn("ord", F.col(key)) if key != "ord" else records
+    postings = materialize(term_frequencies(records, text).select("term", "ord", "tf", "dl"), "frequencies")
+    n, total = records.count(), postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    terms, avg_idf = weighted_terms(postings, n, shared_path(spark, "raw-terms"))
+    return Index(records, doc_lengths(records, text), postings, terms, n, total / n if n else 0.0, float(avg_idf))
+
+
 def build_index(records: DataFrame, path: str | None = None, text: str = "md_text", key: str = "ord", cluster: int | None = None) -> Index:
     """Compute the index once and write it as a new generation below ``path`` (default: the
     shared folder). Its marker is written last, so that queries go on reading the
@@ -85,12 +106,8 @@ def build_index(records: DataFrame, path: str | None = None, text: str = "md_tex
     frequencies = materialize(term_frequencies(stored, text).select("term", "ord", "tf", "dl"), "frequencies")
     frequencies.repartitionByRange(parts, "term", "ord").sortWithinPartitions("term", "ord").write.mode("overwrite").parquet(f"{path}/postings")
     n, total = spark.read.parquet(f"{path}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    terms = frequencies.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", raw_idf(F.lit(n), F.col("df")))
-    terms.write.mode("overwrite").parquet(f"{path}/raw_terms")
-    raw = spark.read.parquet(f"{path}/raw_terms")
-    avg_idf = raw.agg(F.avg("raw")).first()[0] or 0.0
-    idf = F.when(F.col("raw") >= 0, F.col("raw")).otherwise(EPSILON * avg_idf)
-    raw.select("term", "df", idf.alias("idf")).repartitionByRange(max(1, parts // 4), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    terms, avg_idf = weighted_terms(frequencies, n, f"{path}/raw_terms")
+    terms.repartitionByRange(max(1, parts // 4), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
     stats = spark.range(1).select(F.lit(n).cast("bigint").alias("n"), F.lit(total / n if n else 0.0).alias("avgdl"), F.lit(float(avg_idf)).alias("avg_idf"))
     stats.write.mode("overwrite").parquet(f"{path}/corpus")
     write_marker(spark, f"{path}.current")

@@ -11,11 +11,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import TOKEN, substring_count, tokenize
+from corvane.operators.batch import scored_blocks
+from corvane.operators.checked import join_measured, join_weighted
 from corvane.operators.index import B, K1, Index
 from corvane.sources.shared import materialize
 
-#: Postings of one term that are joined with the queries under one key, about.
-POSTINGS_PER_SALT = 200_000
+#: Postings that a task of ``bm25_many`` holds, about (some 100 bytes each).
+BLOCK_POSTINGS = 2_000_000
+#: One of so many blocks comes first, if there are more than two for each core.
+EARLY = 16
+#: Terms of all distinct queries that are sent to the tasks at once, about (some 20 bytes each).
+ENTRIES_AT_ONCE = 2_000_000
+#: Records from which on a term is common.
+COMMON = 10_000
 
 
 def query_tokens(query: str) -> list[str]:
@@ -74,17 +82,51 @@ def fetch(index: Index, top: list[tuple]) -> DataFrame:
 
 def bm25_many(index: Index, queries: DataFrame, k: int = 10, key: str = "query_id", text: str = "text") -> DataFrame:
     """``query_id, rank, ord, score`` of the ``k`` best records of each query that hold one
-    of its tokens. Queries without tokens yield nothing. The postings of a common term are
-    spread over as many keys as the most common one asks for."""
+    of its tokens. Queries without tokens yield nothing.
+
+    Queries of the same tokens are answered once. The postings of all their terms are dealt out
+    by record, so that a task has all of some records and keeps only its ``k`` best of each
+    query; pairs of query and record are neither shuffled nor written. Where there are many
+    blocks, a few of them come first and tell what score a record must have in the others.
+    """
     tokens = queries.select(F.col(key).alias("query_id"), F.explode(tokenize(F.col(text))).alias("term"))
     asked = tokens.groupBy("query_id", "term").agg(F.count("*").alias("times")).join(index.terms, "term")
     asked = materialize(asked.select("query_id", "term", "df", (F.col("times") * F.col("idf")).alias("w")), "asked")
-    salts = max(1, math.ceil((asked.agg(F.max("df")).first()[0] or 0) / POSTINGS_PER_SALT))
-    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hit = asked.join(index.postings.withColumn("salt", F.pmod(F.xxhash64("ord"), F.lit(salts)).cast("int")), ["term", "salt"])
-    scored = hit.groupBy("query_id", "ord").agg(F.round(F.sum(F.col("w") * weight(F.col("tf"), F.col("dl"), index.avgdl)), 6).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "ord", "score")
+    terms = materialize(asked.select("term", "df").distinct().withColumn("term_no", F.monotonically_increasing_id()), "asked-terms")
+    n_terms, n_postings = terms.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
+    numbered = join_weighted(asked.drop("df"), terms, n_terms, ["term"], F.col("df") > COMMON)
+    members = materialize(numbered.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(F.col("term_no").alias("term"), F.col("w").alias("weight")))).alias("terms")), "asked-queries")
+    classes = materialize(members.select("terms").distinct().withColumn("query", F.monotonically_increasing_id()), "asked-classes")
+    n_classes, n_entries = classes.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    members = join_measured(members, classes, n_entries, ["terms"], "inner").select("query_id", "query")
+
+    hit = join_weighted(index.postings, terms, n_terms, ["term"], F.col("df") > COMMON).select("ord", "term_no", "tf", "dl")
+    cores = hit.sparkSession.sparkContext.defaultParallelism
+    blocks = max(cores, math.ceil(n_postings / BLOCK_POSTINGS))
+    passes = max(1, math.ceil(n_entries / ENTRIES_AT_ONCE))
+    unknown = classes.withColumn("least", F.lit(None).cast("double"))
+    early = max(cores, blocks // EARLY)
+    if blocks < 2 * early:
+        scored = _in_passes(hit, unknown, passes, blocks, index.avgdl, k)
+    else:
+        hit = materialize(hit, "asked-postings")
+        turn = F.pmod(F.xxhash64("ord"), F.lit(blocks)) < early
+        first = materialize(_in_passes(hit.filter(turn), unknown, passes, early, index.avgdl, k), "early")
+        least = _best(first, k).filter(F.col("rank") == k).select("query", F.col("score").alias("least"))
+        known = materialize(classes.join(least, "query", "left"), "asked-least")
+        scored = first.unionByName(_in_passes(hit.filter(~turn), known, passes, blocks - early, index.avgdl, k))
+    best = _best(scored, k)
+    return join_measured(members, best, n_classes * max(1, k), ["query"], "inner").select("query_id", "rank", "ord", "score")
+
+
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "ord")
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def _in_passes(hit: DataFrame, asked: DataFrame, passes: int, blocks: int, avgdl: float, k: int) -> DataFrame:
+    parts = [asked.filter(F.pmod(F.xxhash64("query"), F.lit(passes)) == i) for i in range(passes)]
+    return reduce(DataFrame.unionByName, [scored_blocks(hit, part, blocks, avgdl, max(1, k)) for part in parts])
 
 
 def substring_top(records: DataFrame, query: str, k: int = 10, key: str = "ord", title: str = "title", text: str = "md_text") -> DataFrame:

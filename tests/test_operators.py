@@ -8,9 +8,10 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.operators import rank
 from corvane.operators.chunking import by_words, chunk_markdown, chunk_text, slices
 from corvane.operators.components import connected_components
-from corvane.operators.index import build_index
+from corvane.operators.index import build_index, scan_index
 from corvane.operators.latest import latest_rows, latest_wide_rows
 from corvane.operators.rank import bm25_many, bm25_top, substring_top
 from corvane.operators.running import running_sum
@@ -231,3 +232,64 @@ def test_shared_folder(spark):
     assert shared_dir(named) == "hdfs://x/shared"
     kept = materialize(spark.range(5), "five")
     assert kept.count() == 5 and "/five-" in kept.inputFiles()[0]
+
+
+def shuffled_rows(spark, since):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    new = spark.sparkContext._jvm.java.util.ArrayList
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(new(), False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), new())
+    found = [stages.apply(i) for i in range(stages.size())]
+    return max((s.stageId() for s in found), default=-1), sum(s.shuffleWriteRecords() for s in found if s.stageId() > since)
+
+
+def test_bm25_many_shuffles_no_pairs(spark):
+    records = spark.range(1000).select(F.col("id").alias("ord"), F.concat(F.lit("cache model "), F.repeat(F.lit("x1 "), F.col("id").cast("int") % 7)).alias("md_text"))
+    index = scan_index(records)
+    asked = spark.range(300).select(F.col("id").alias("query_id"), F.lit("cache model x1").alias("text"))
+    before, _ = shuffled_rows(spark, -1)
+    assert bm25_many(index, asked, 5).count() == 1500
+    _, rows = shuffled_rows(spark, before)
+    assert 0 < rows < 20_000  # 300,000 pairs of query and record; the postings are 2,857
+
+
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK_POSTINGS": 20, "ENTRIES_AT_ONCE": 30, "COMMON": 5}])
+@pytest.mark.parametrize("k", [1, 3])
+def test_bm25_many_blocks(spark, monkeypatch, sizes, k):
+    for name, value in sizes.items():
+        monkeypatch.setattr(rank, name, value)
+    rng = random.Random(7)
+    words = [f"w{n}" for n in range(12)]
+    # the first two words are in most records, so that they weigh less than nothing or little; copies tie
+    texts = [" ".join([rng.choice(words[:2]) for _ in range(rng.randint(0, 3))] + [rng.choice(words[: rng.randint(1, 12)]) for _ in range(rng.randint(0, 6))]) for _ in range(150)] * 2
+    keys = rng.sample(range(10_000), len(texts))
+    index = scan_index(spark.createDataFrame(list(zip(keys, texts, strict=True)), "ord long, md_text string"))
+    queries = [" ".join(rng.choices(words, k=rng.randint(1, 5))) for _ in range(40)] + ["w3 w4"] * 20 + ["unknown", "w5 unknown"]
+    got = bm25_many(index, spark.createDataFrame(list(enumerate(queries)), "query_id int, text string"), k).collect()
+    assert sorted(r["query_id"] for r in got) == sorted(q for q, text in enumerate(queries) if text != "unknown" for _ in range(k))
+    for q, text in enumerate(queries):
+        scores = brute_bm25(texts, text.split())
+        holds = [n for n, t in enumerate(texts) if set(text.split()) & set(t.split())]
+        want = sorted(holds, key=lambda n: (-scores[n], keys[n]))[:k]
+        mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [(r["rank"], r["ord"]) for r in mine] == [(n + 1, keys[i]) for n, i in enumerate(want)]
+        assert [r["score"] for r in mine] == pytest.approx([scores[i] for i in want], abs=2e-6)
+
+
+def test_bm25_many_below_zero(spark):
+    """Where every word is in most records all weights are below 0, and so are the scores."""
+    texts = ["aa bb", "aa bb bb", "aa", "bb bb bb", "aa aa bb", "bb aa bb", ""]
+    index = scan_index(spark.createDataFrame(list(enumerate(texts)), "ord long, md_text string"))
+    assert index.avg_idf < 0
+    got = bm25_many(index, spark.createDataFrame([(1, "aa bb"), (2, "bb")], "query_id int, text string"), 4).collect()
+    for q, words in ((1, ["aa", "bb"]), (2, ["bb"])):
+        scores = brute_bm25(texts, words)
+        want = sorted((n for n, t in enumerate(texts) if set(words) & set(t.split())), key=lambda n: (-scores[n], n))[:4]
+        assert [r["ord"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
+
+
+def test_scan_index(spark, corpus):
+    _, records, index = corpus
+    got = scan_index(records)
+    assert (got.n, got.avgdl, got.avg_idf) == pytest.approx((index.n, index.avgdl, index.avg_idf))
+    for table, columns in (("postings", ["term", "ord", "tf", "dl"]), ("docs", ["ord", "dl"]), ("terms", ["term", "df"])):
+        assert sorted(getattr(got, table).select(columns).collect()) == sorted(getattr(index, table).select(columns).collect())
