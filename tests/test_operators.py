@@ -293,3 +293,11 @@ def test_scan_index(spark, corpus):
     assert (got.n, got.avgdl, got.avg_idf) == pytest.approx((index.n, index.avgdl, index.avg_idf))
     for table, columns in (("postings", ["term", "ord", "tf", "dl"]), ("docs", ["ord", "dl"]), ("terms", ["term", "df"])):
         assert sorted(getattr(got, table).select(columns).collect()) == sorted(getattr(index, table).select(columns).collect())
+
+
+def test_bm25_many_nothing_known(spark, corpus):
+    _, records, index = corpus
+    asked = spark.createDataFrame([(1, "unknown"), (2, None)], "query_id int, text string")
+    assert bm25_many(index, asked, 3).collect() == []
+    assert bm25_many(scan_index(records.limit(0)), asked, 3).collect() == []
+    assert bm25_many(index, spark.createDataFrame([(1, "cache")], "query_id int, text string"), 0).collect() == []
